@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
 Words are hashed to a fixed number of buckets. From labelled documents each bucket gets the log-odds of its rate in toxic
-against other texts, with an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008); those within the noise of
+against other texts, a text counting once however often it repeats a word, with an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008); those within the noise of
 their own variance count nothing. With a drift subtracted from every word, the mean score of ordinary text is negative,
 and a linear scan (Ruzzo and Tompa 1999) finds all maximal segments of a text. The chance of a segment of score S in a
 text of n words is that of an extreme value, K n exp(-lambda S) (Karlin and Altschul 1990): lambda follows from the scores
@@ -52,12 +52,14 @@ def _tokens(text: Column, buckets: int) -> Column:
     return let(words(lower_ascii(text), NOT_WORD), lambda w: F.transform(w, bucket))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = 500.0, z: float = 2.5) -> np.ndarray:
-    """Log-odds of buckets by their counts in both classes; zero where within z deviations of zero."""
+def log_odds(toxic: np.ndarray, clean: np.ndarray, share: float = 0.1, z: float = 3.0) -> np.ndarray:
+    """Log-odds of buckets by their counts in both classes; zero where within z deviations of zero. The prior is a share of
+    the counts of both classes together."""
     n1, n0 = toxic.sum(), clean.sum()
     if not n1 or not n0:
         return np.zeros(len(toxic))
-    a = prior * (toxic + clean + 1e-3) / (n1 + n0 + 1e-3 * len(toxic))
+    a = share * (toxic + clean) + 1e-6
+    prior = a.sum()
     odds = lambda y, n: np.log((y + a) / (n + prior - y - a))
     delta = odds(toxic, n1) - odds(clean, n0)
     return np.where(np.abs(delta) >= z * np.sqrt(1 / (toxic + a) + 1 / (clean + a)), delta, 0.0)
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample_rows:
     own = own.select("doc_id", "toxic", _tokens(F.col("text"), buckets).alias("t"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 3).alias("curve"))
     own = stored(docs.sparkSession, own, "toxicity-sample")
     counts = np.zeros((2, buckets))
-    for r in own.where(~F.col("curve")).select("toxic", F.explode("t").alias("b")).groupBy("b").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect():
+    for r in own.where(~F.col("curve")).select("toxic", F.explode(F.array_distinct("t")).alias("b")).groupBy("b").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect():
         counts[:, r["b"]] = r["n"] - r["y"], r["y"]  # at most `buckets` rows
     scores = log_odds(counts[1], counts[0]) - drift
     lam = extreme_rate(scores, counts[0])
