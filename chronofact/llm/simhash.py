@@ -28,6 +28,8 @@ from chronofact.llm.text import named
 from chronofact.session import stored
 
 SEED = 42
+#: Variants of three fingerprints or more that are broadcast at most (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def fingerprint(text: bytes | None, n: int = 3) -> int:
@@ -79,6 +81,9 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 16) -> DataFrame:
     if not 0 <= bits <= 2:
         raise ValueError("two segments with one wildcard each find pairs of two bits or fewer")
     spark = fps.sparkSession
+    # 64 rows for each fingerprint: deal the fingerprints to tasks by number of rows, not by their few bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fps.count() // 100_000 + 1)
+    fps = fps.repartition(tasks, "fp")
     sizes = stored(
         spark,
         _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"),
@@ -86,7 +91,10 @@ def links(fps: DataFrame, bits: int = 2, crowd: int = 16) -> DataFrame:
     )
     near = _apart(F.col("a"), F.col("b")) <= bits
     pairs = sizes.where("n = 2").where(near).select("a", "b")
-    shared = _variants(fps).join(sizes.where("n > 2").select("key", "n"), "key")
+    common = sizes.where("n > 2").select("key", "n")
+    if common.count() <= BROADCAST_KEYS:
+        common = F.broadcast(common)
+    shared = stored(spark, _variants(fps).join(common, "key"), "simhash-shared")
     few = shared.where(F.col("n") <= crowd)
     few = _joined(few, near)
     crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
