@@ -1,11 +1,693 @@
-"""All registered queries of the statement store, and their SQL."""
+"""All registered queries of the statement store, each with the SQL that states the same result over the same tables.
+
+Queries over what a library would leave undefined (communities, centrality by floating sums of many rounds) have no SQL and
+are held to fixtures in the tests.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofact import model
+from chronofact.operators import filters, graph, history, match, query, registry, resolve, write
+from chronofact.plans import sqlguard
+from chronofact.plans.reified import sql
+from chronofact.session import stored
+from chronofact.sources import ingest
+from chronofact.streaming import jobs
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+DAY = "1998-01-01 00:00:00"
+VISIBLE = "system_to IS NULL AND rank <> 'deprecated'"
+AS_OF = f"(valid_from IS NULL OR valid_from <= TIMESTAMP '{DAY}') AND (valid_to IS NULL OR valid_to > TIMESTAMP '{DAY}')"
+RANK = "CASE rank WHEN 'preferred' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END"
+CANON = f"{RANK}, confidence DESC, system_from, id"
+
+
+def registered(name: str, oracle: str | None = None):
+    """Register a function of (spark, sf_dir, store) under a name."""
+
+    def put(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, model.reify(spark, sf_dir))
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- lists, filters, joins
+
+
+@registered(
+    "F0_contains_per_nation",
+    sql(f"""SELECT n.label AS nation, count(*) AS n FROM stmt c JOIN stmt p ON p.subject_id = c.subject_id AND p.predicate_id = 'placed_by'
+    JOIN stmt l ON l.subject_id = p.object_id AND l.predicate_id = 'located_in' JOIN ent n ON n.id = l.object_id
+    WHERE c.predicate_id = 'contains' AND c.system_to IS NULL AND c.rank <> 'deprecated' AND c.confidence >= 0.7
+    AND c.valid_from <= TIMESTAMP '{DAY}' AND c.valid_to > TIMESTAMP '{DAY}' GROUP BY 1"""),
+)
+def contains_per_nation(spark, sf_dir, store):
+    said = query.matching(store, predicate="contains", min_confidence=0.7, valid_at=DAY).select(F.col("subject_id").alias("o"))
+    placed = query.matching(store, predicate="placed_by").select(F.col("subject_id").alias("o"), F.col("object_id").alias("c"))
+    located = query.matching(store, predicate="located_in").select(F.col("subject_id").alias("c"), F.col("object_id").alias("id"))
+    names = store.entities.select("id", F.col("label").alias("nation"))
+    return said.join(placed, "o").join(located, "c").join(names, "id").groupBy("nation").agg(F.count("*").alias("n"))
+
+
+@registered("F1_list_page", sql(f"""SELECT s.id, s.subject_id, a.label AS subject_label, s.predicate_id, s.object_id, b.label AS object_label, s.value_text, s.value_number,
+    s.value_unit, s.value_datetime, s.rank, s.confidence, (SELECT count(*) FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND confidence >= 0.9) AS total
+    FROM (SELECT * FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND confidence >= 0.9 ORDER BY {CANON} LIMIT 50 OFFSET 10) s
+    LEFT JOIN ent a ON a.id = s.subject_id LEFT JOIN ent b ON b.id = s.object_id"""))
+def list_page(spark, sf_dir, store):
+    return query.list_statements(store, limit=50, offset=10, predicate="contains", min_confidence=0.9)
+
+
+@registered("F1_as_of", sql("""SELECT predicate_id, rank, count(*) AS n FROM stmt WHERE system_from <= TIMESTAMP '1997-06-01' AND (system_to IS NULL OR system_to > TIMESTAMP '1997-06-01')
+    AND rank = 'preferred' GROUP BY 1, 2"""))
+def as_of(spark, sf_dir, store):
+    return query.matching(store, system_at="1997-06-01 00:00:00", rank="preferred").groupBy("predicate_id", "rank").agg(F.count("*").alias("n"))
+
+
+@registered("F3_entity_view", sql(f"""SELECT direction, id, subject_id, predicate_id, object_id, rank FROM (SELECT 'out' AS direction, * FROM stmt WHERE subject_id = 'customer:1' UNION ALL
+    SELECT 'in', * FROM stmt WHERE object_id = 'customer:1') WHERE {VISIBLE}"""))
+def entity_view(spark, sf_dir, store):
+    return query.entity_view(store, "customer:1").select("direction", "id", "subject_id", "predicate_id", "object_id", "rank")
+
+
+@registered("F4_list_entities", sql("""SELECT e.id, e.type_id, e.label, e.created_at, count(s.id) AS statement_count FROM ent e LEFT JOIN stmt s ON s.subject_id = e.id AND s.system_to IS NULL
+    WHERE e.merged_into IS NULL AND e.type_id IN ('Agent', 'Customer', 'Supplier', 'User') AND e.label ILIKE '%er#00000000%' GROUP BY ALL"""))
+def list_entities(spark, sf_dir, store):
+    return query.list_entities(store, "Agent", "er#00000000", limit=None)
+
+
+@registered("F5_list_sources", sql("SELECT s.id, s.activity, s.retrieved_at, count(r.statement_id) AS statement_count FROM src s LEFT JOIN refs r ON r.source_id = s.id GROUP BY ALL"))
+def list_sources(spark, sf_dir, store):
+    return query.list_sources(store)
+
+
+@registered("F6_source_detail", sql("""SELECT s.id, a.label AS subject_label, s.predicate_id, b.label AS object_label, s.system_from, (SELECT count(*) FROM refs WHERE source_id = 'src:master') AS total
+    FROM (SELECT s.* FROM stmt s JOIN refs r ON r.statement_id = s.id WHERE r.source_id = 'src:master' ORDER BY s.system_from DESC, s.id LIMIT 200) s
+    LEFT JOIN ent a ON a.id = s.subject_id LEFT JOIN ent b ON b.id = s.object_id"""))
+def source_detail(spark, sf_dir, store):
+    return query.source_detail(store, "src:master")
+
+
+@registered("F12_applicable_predicates", """SELECT * FROM (VALUES ('Nation','part_of'),('Agent','located_in'),('Customer','located_in'),('Supplier','located_in'),('User','located_in'),
+    ('Place','name'),('Region','name'),('Nation','name'),('Agent','name'),('Customer','name'),('Supplier','name'),('User','name'),('Part','name'),('Customer','segment'),('Agent','balance'),
+    ('Customer','balance'),('Supplier','balance'),('User','balance'),('Order','placed_by'),('Order','status'),('Order','total'),('Happening','started'),('Order','started'),('Order','contains'),
+    ('Order','supplied_by'),('User','did')) v(type_id, predicate_id)""")
+def applicable(spark, sf_dir, store):
+    return registry.applicable(store.types, store.implements, store.predicates)
+
+
+@registered("F13_field_groups", """SELECT * FROM (VALUES ('part_of','Where'),('located_in','Where'),('name','Details'),('segment','Details'),('balance','Details'),('placed_by','Who'),('status','Details'),
+    ('total','Details'),('started','When'),('contains','Details'),('supplied_by','Who'),('did','Details')) v(id, question)""")
+def field_groups(spark, sf_dir, store):
+    return query.field_groups(store)
+
+
+@registered("F14_by_predicate", sql(f"SELECT predicate_id, count(*) AS n, string_agg(id, ',' ORDER BY {CANON}) AS ids FROM stmt WHERE {VISIBLE} AND subject_id = 'order:1' GROUP BY 1"))
+def by_predicate(spark, sf_dir, store):
+    return query.by_predicate(store, "order:1").withColumn("ids", F.array_join("ids", ","))
+
+
+@registered("F7_compact_json", sql(f"""SELECT id, '{{"subject_id":"' || subject_id || '","predicate_id":"' || predicate_id || '"' || coalesce(',"object_id":"' || object_id || '"', '') || coalesce(',"value_text":"' || value_text || '"', '') || '}}' AS doc
+    FROM stmt WHERE predicate_id IN ('located_in', 'segment') AND {VISIBLE}"""))
+def compact_json(spark, sf_dir, store):
+    said = store.statements.where(filters.visible() & F.col("predicate_id").isin("located_in", "segment"))
+    return said.select("id", F.to_json(F.struct("subject_id", "predicate_id", "object_id", "value_text"), {"ignoreNullFields": "true"}).alias("doc"))
+
+
+@registered("S4_v_statements", sql("SELECT s.predicate_id, count(*) AS n, count(b.label) AS labelled FROM stmt s JOIN ent a ON a.id = s.subject_id LEFT JOIN ent b ON b.id = s.object_id GROUP BY 1"))
+def v_statements(spark, sf_dir, store):
+    return query.views(store)["v_statements"].groupBy("predicate_id").agg(F.count("*").alias("n"), F.count("object_label").alias("labelled"))
+
+
+@registered("S5_v_qualifiers", sql("SELECT predicate_id, count(*) AS n, CAST(sum(CAST(value_number AS DECIMAL(18,2))) AS DOUBLE) AS total FROM quals GROUP BY 1"))
+def v_qualifiers(spark, sf_dir, store):
+    return query.views(store)["v_qualifiers"].groupBy("predicate_id").agg(F.count("*").alias("n"), query.money("value_number").cast("double").alias("total"))
+
+
+@registered("S6_v_sources", sql("SELECT s.activity, count(*) AS n, count(r.statement_id) AS used FROM src s LEFT JOIN refs r ON r.source_id = s.id GROUP BY 1"))
+def v_sources(spark, sf_dir, store):
+    return query.views(store)["v_sources"].groupBy("activity").agg(F.count("*").alias("n"), F.count("statement_id").alias("used"))
+
+
+@registered("J5_references", sql(f"""SELECT s.id, count(DISTINCT q.predicate_id) AS qualifiers, count(DISTINCT r.source_id) AS sources FROM stmt s LEFT JOIN quals q ON q.statement_id = s.id
+    LEFT JOIN refs r ON r.statement_id = s.id WHERE {VISIBLE} AND s.predicate_id = 'contains' AND s.confidence >= 0.95 GROUP BY 1"""))
+def references(spark, sf_dir, store):
+    said = query.matching(store, predicate="contains", min_confidence=0.95)
+    return query.nested(store, said).select("id", F.coalesce(F.size("qualifiers"), F.lit(0)).cast("long").alias("qualifiers"), F.coalesce(F.size("references"), F.lit(0)).cast("long").alias("sources"))
+
+
+@registered("J8_identifier_lookup", sql(f"SELECT n.n_nationkey AS ref, s.subject_id AS id FROM nation n JOIN stmt s ON s.predicate_id = 'name' AND s.value_text = n.n_name AND {VISIBLE}"))
+def identifier_lookup(spark, sf_dir, store):
+    wanted = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("ref"), F.col("n_name").alias("value_text"))
+    return wanted.join(query.matching(store, predicate="name").select("value_text", F.col("subject_id").alias("id")), "value_text").select("ref", "id")
+
+
+# -- aggregates
+
+
+@registered("A1_count", sql(f"SELECT count(*) AS n FROM stmt WHERE {VISIBLE}"))
+def count(spark, sf_dir, store):
+    return query.aggregate(store, "count")
+
+
+@registered("A2_count_by_object", sql(f"SELECT s.object_id, s.n, e.label FROM (SELECT object_id, count(*) AS n FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND {AS_OF} GROUP BY 1) s LEFT JOIN ent e ON e.id = s.object_id"))
+def count_by_object(spark, sf_dir, store):
+    return query.labelled(store, query.aggregate(store, "count", "object", predicate="contains", valid_at=DAY), "object_id")
+
+
+@registered("A3_sum_by_unit", sql(f"SELECT value_unit AS unit, CAST(sum(CAST(value_number AS DECIMAL(18,2))) AS DOUBLE) AS value, count(*) AS n FROM stmt WHERE {VISIBLE} AND value_type IN ('number', 'quantity') AND predicate_id = 'balance' GROUP BY 1"))
+def sum_by_unit(spark, sf_dir, store):
+    return query.aggregate(store, "sum", predicate="balance")
+
+
+@registered("A3_avg_by_unit", sql(f"SELECT value_unit AS unit, round(CAST(sum(CAST(value_number AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS value, count(*) AS n FROM stmt WHERE {VISIBLE} AND value_type IN ('number', 'quantity') GROUP BY 1"))
+def avg_by_unit(spark, sf_dir, store):
+    return query.aggregate(store, "avg").withColumn("value", F.round("value", 4))
+
+
+@registered("A3_sum_by_subject", sql(f"SELECT value_unit AS unit, subject_id, CAST(sum(CAST(value_number AS DECIMAL(18,2))) AS DOUBLE) AS value, count(*) AS n FROM stmt WHERE {VISIBLE} AND value_type IN ('number', 'quantity') AND predicate_id = 'total' GROUP BY 1, 2"))
+def sum_by_subject(spark, sf_dir, store):
+    return query.aggregate(store, "sum", "subject", predicate="total")
+
+
+@registered("A5_stats", sql("SELECT (SELECT count(*) FROM ent WHERE merged_into IS NULL) AS entities, (SELECT count(*) FROM stmt WHERE system_to IS NULL) AS statements, (SELECT count(*) FROM src) AS sources"))
+def stats(spark, sf_dir, store):
+    return query.stats(store)
+
+
+@registered("A5_entities_by_type", sql("SELECT type_id, count(*) AS n FROM ent WHERE merged_into IS NULL GROUP BY 1"))
+def entities_by_type(spark, sf_dir, store):
+    return query.entities_by_type(store)
+
+
+@registered("A6_degree", sql(f"SELECT id, count(*) AS degree FROM (SELECT DISTINCT s.id AS sid, unnest([subject_id, object_id]) AS id FROM stmt s WHERE {VISIBLE} AND value_type = 'entity') GROUP BY 1"))
+def degree(spark, sf_dir, store):
+    return query.degree(store)
+
+
+@registered("A7_multigraph_degree", sql("SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1"))
+def multigraph_degree(spark, sf_dir, store):
+    return graph.degrees(graph.edges(store), 2)
+
+
+@registered("A9_predicates_of_subject", sql(f"SELECT subject_id, string_agg(DISTINCT predicate_id, ',' ORDER BY predicate_id) AS via FROM stmt WHERE {VISIBLE} AND subject_id LIKE 'order:%' GROUP BY 1"))
+def predicates_of_subject(spark, sf_dir, store):
+    said = store.statements.where(filters.visible() & F.col("subject_id").startswith("order:"))
+    return said.groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_set("predicate_id")), ",").alias("via"))
+
+
+@registered("A10_duplicate_names", sql(f"SELECT value_text, count(DISTINCT subject_id) AS n FROM stmt WHERE {VISIBLE} AND predicate_id = 'name' GROUP BY 1 HAVING count(DISTINCT subject_id) > 1"))
+def duplicate_names(spark, sf_dir, store):
+    return query.duplicates(store, "name")
+
+
+@registered("A11_best_labels", sql(f"SELECT subject_id, arg_max(value_text, system_from) AS label FROM stmt WHERE {VISIBLE} AND predicate_id = 'name' GROUP BY 1"))
+def best_labels(spark, sf_dir, store):
+    return query.best_labels(store)
+
+
+@registered("A12_turns_per_conversation", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
+def turns(spark, sf_dir, store):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@registered("A15_telemetry", "SELECT event_type AS tool, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, sum(CAST(length(props) AS BIGINT))::BIGINT AS bytes FROM events GROUP BY 1")
+def telemetry(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("tool"))
+    return rows.agg(F.count("*").alias("calls"), query.money("value").cast("double").alias("total"), F.sum(F.length("props")).cast("long").alias("bytes"))
+
+
+# -- patterns and sets
+
+FACTS = f"SELECT * FROM stmt WHERE {VISIBLE}"
+
+
+@registered("J3_chain2", sql(f"SELECT DISTINCT a.subject_id AS o, b.object_id AS n FROM ({FACTS}) a JOIN ({FACTS}) b ON b.subject_id = a.object_id WHERE a.predicate_id = 'placed_by' AND b.predicate_id = 'located_in'"))
+def chain2(spark, sf_dir, store):
+    return match.match(store, [("?o", "placed_by", "?c"), ("?c", "located_in", "?n")], ["?o", "?n"])
+
+
+@registered("J3_chain3", sql(f"""SELECT DISTINCT a.object_id AS p, c.object_id AS n FROM ({FACTS}) a JOIN ({FACTS}) b ON b.subject_id = a.subject_id AND b.predicate_id = 'placed_by'
+    JOIN ({FACTS}) c ON c.subject_id = b.object_id AND c.predicate_id = 'located_in' WHERE a.predicate_id = 'contains' AND a.confidence >= 0.8 AND b.confidence >= 0.8 AND c.confidence >= 0.8"""))
+def chain3(spark, sf_dir, store):
+    return match.match(store, [("?o", "contains", "?p"), ("?o", "placed_by", "?c"), ("?c", "located_in", "?n")], ["?p", "?n"], min_confidence=0.8)
+
+
+@registered("J3_same_nation", sql(f"""SELECT DISTINCT a.subject_id AS o, b.object_id AS s, n1.object_id AS n FROM ({FACTS}) a JOIN ({FACTS}) b ON b.subject_id = a.subject_id AND b.predicate_id = 'supplied_by'
+    JOIN ({FACTS}) n1 ON n1.subject_id = a.object_id AND n1.predicate_id = 'located_in' JOIN ({FACTS}) n2 ON n2.subject_id = b.object_id AND n2.predicate_id = 'located_in' AND n2.object_id = n1.object_id
+    WHERE a.predicate_id = 'placed_by'"""))
+def same_nation(spark, sf_dir, store):
+    return match.match(store, [("?o", "placed_by", "?c"), ("?o", "supplied_by", "?s"), ("?c", "located_in", "?n"), ("?s", "located_in", "?n")], ["?o", "?s", "?n"])
+
+
+@registered("J3_text", sql(f"SELECT DISTINCT a.subject_id AS o FROM ({FACTS}) a JOIN ({FACTS}) b ON b.subject_id = a.object_id WHERE a.predicate_id = 'placed_by' AND b.predicate_id = 'segment' AND b.value_text = 'BUILDING'"))
+def text_pattern(spark, sf_dir, store):
+    return match.match(store, [("?o", "placed_by", "?c"), ("?c", "segment", match.Text("BUILDING"))], ["?o"])
+
+
+@registered("J3_predicate_variable", sql(f"SELECT DISTINCT predicate_id AS p FROM ({FACTS}) WHERE subject_id = 'order:1'"))
+def predicate_variable(spark, sf_dir, store):
+    return match.match(store, [("order:1", "?p", "?o"), ], ["?p"]).unionByName(
+        query.matching(store, subject="order:1").where("value_type <> 'entity'").select(F.col("predicate_id").alias("p"))).distinct()
+
+
+@registered("J3_cross_product", sql(f"SELECT DISTINCT a.subject_id AS x, b.subject_id AS y FROM ({FACTS}) a, ({FACTS}) b WHERE a.predicate_id = 'part_of' AND a.object_id = 'region:0' AND b.predicate_id = 'part_of' AND b.object_id = 'region:1'"))
+def cross_product(spark, sf_dir, store):
+    return match.match(store, [("?x", "part_of", "region:0"), ("?y", "part_of", "region:1")], ["?x", "?y"])
+
+
+def _set_sql(op: str) -> str:
+    one = f"SELECT DISTINCT subject_id AS id FROM ({FACTS}) WHERE predicate_id = 'contains' AND object_id = 'part:{{}}'"
+    return sql(f"({one.format(1)}) {op} ({one.format(2)}) {op} ({one.format(3)})")
+
+
+PARTS = [{"predicate_id": "contains", "object_id": f"part:{i}"} for i in (1, 2, 3)]
+
+
+@registered("O1_intersect", sql(f"SELECT DISTINCT subject_id AS id FROM ({FACTS}) WHERE predicate_id = 'placed_by' AND confidence >= 0.5 INTERSECT SELECT DISTINCT subject_id FROM ({FACTS}) WHERE predicate_id = 'supplied_by' AND object_id = 'supplier:1'"))
+def intersect(spark, sf_dir, store):
+    return match.set_operation(store, "intersect", [{"predicate_id": "placed_by", "min_confidence": 0.5}, {"predicate_id": "supplied_by", "object_id": "supplier:1"}])
+
+
+@registered("O2_union", _set_sql("UNION"))
+def union(spark, sf_dir, store):
+    return match.set_operation(store, "union", PARTS)
+
+
+@registered("O3_difference", _set_sql("EXCEPT"))
+def difference(spark, sf_dir, store):
+    return match.set_operation(store, "difference", PARTS)
+
+
+# -- history
+
+
+@registered("W2_label_changes", sql("""SELECT subject_id, moment AS "at", old || ' → ' || new AS detail FROM (SELECT subject_id, system_from AS moment, lag(value_text) OVER (PARTITION BY subject_id ORDER BY system_from, id) AS old,
+    value_text AS new FROM stmt WHERE predicate_id = 'did' AND rank <> 'deprecated') WHERE old <> new"""))
+def label_changes(spark, sf_dir, store):
+    return history.label_changes(store.statements, "did")
+
+
+@registered("W3_runs", """WITH r AS (SELECT *, date_trunc('minute', ts) AS minute, date_trunc('hour', ts) AS hour FROM events), f AS (SELECT *, CASE WHEN lag(minute) OVER w = minute AND lag(event_type) OVER w = event_type
+    THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY hour ORDER BY ts, event_type, event_id)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY hour ORDER BY ts, event_type, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+    SELECT minute, event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM g GROUP BY hour, run, minute, event_type HAVING count(*) >= 2""")
+def runs(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), "ts", "event_type")
+    out = history.runs(rows, ["event_type"], "ts", least=2)
+    return out.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@registered("W5_timeline", sql(f"""SELECT 'event' AS kind, v.subject_id AS id, b.at, v.detail FROM (SELECT s.subject_id, string_agg(DISTINCT s.predicate_id, ',' ORDER BY s.predicate_id) AS detail FROM stmt s JOIN ent e
+    ON e.id = s.subject_id AND e.type_id = 'Order' WHERE {VISIBLE} AND s.object_id = 'customer:1' GROUP BY 1) v LEFT JOIN (SELECT subject_id, max(value_datetime) AS at FROM stmt WHERE {VISIBLE} AND value_type = 'datetime' GROUP BY 1) b
+    ON b.subject_id = v.subject_id"""))
+def timeline(spark, sf_dir, store):
+    return history.timeline(store, "customer:1")
+
+
+@registered("W6_changes", sql("""SELECT id, CASE WHEN rank = 'deprecated' THEN 'deprecated' ELSE 'added' END AS change, system_from AS changed_at FROM stmt
+    WHERE system_from BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-02-01'"""))
+def changes(spark, sf_dir, store):
+    return history.changes(store, "1997-01-01 00:00:00", "1997-02-01 00:00:00").select("id", "change", "changed_at")
+
+
+@registered("W1_rank_in_group", sql("SELECT id, degree, row_number() OVER (PARTITION BY split_part(id, ':', 1) ORDER BY degree DESC, id) AS place FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) QUALIFY place <= 5"))
+def rank_in_group(spark, sf_dir, store):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(F.split("id", ":")[0]).orderBy(F.desc("degree"), "id")
+    return graph.degrees(graph.edges(store), 2).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5")
+
+
+@registered("L9_nulls_last", sql("SELECT id, row_number() OVER (ORDER BY retrieved_at DESC NULLS LAST, id) AS place FROM src ORDER BY retrieved_at DESC NULLS LAST, id LIMIT 100"))
+def nulls_last(spark, sf_dir, store):
+    from pyspark.sql import Window
+
+    order = [F.desc_nulls_last("retrieved_at"), F.asc("id")]
+    top = store.sources.orderBy(*order).limit(100)  # the window numbers 100 rows
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("id", "place")
+
+
+# -- graph
+
+PAIRS = "SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edge UNION ALL SELECT dst, src FROM edge) WHERE a <> b"
+
+
+def _bfs(start: str, depth: int) -> dict[str, str]:
+    out = {"pair": PAIRS, "l0": f"SELECT '{start}' AS node, 0 AS depth"}
+    for d in range(1, depth + 1):
+        out[f"l{d}"] = f"SELECT * FROM l{d - 1} UNION ALL SELECT DISTINCT p.b, {d} FROM pair p JOIN l{d - 1} x ON x.node = p.a AND x.depth = {d - 1} WHERE p.b NOT IN (SELECT node FROM l{d - 1})"
+    return out
+
+
+@registered("G1_levels", sql("SELECT node, depth FROM l3", **_bfs("customer:1", 3)))
+def levels(spark, sf_dir, store):
+    return graph.levels(stored(spark, graph.both_ways(graph.edges(store)), "pairs"), "customer:1", 3)
+
+
+@registered("G1_neighborhood", sql("""SELECT x.node, x.depth, coalesce(d.degree, 0) AS degree, (SELECT count(*) FROM l2) AS total_nodes FROM (SELECT * FROM l2 ORDER BY depth, node LIMIT 40) x
+    LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) d ON d.id = x.node""", **_bfs("customer:1", 2)))
+def neighborhood(spark, sf_dir, store):
+    return graph.neighborhood(store, "customer:1", 2, max_nodes=40)[0]
+
+
+@registered("G1_induced_edges", sql("SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT node FROM l2) AND e.dst IN (SELECT node FROM l2)", **_bfs("customer:1", 2)))
+def induced_edges(spark, sf_dir, store):
+    return graph.neighborhood(store, "customer:1", 2, max_nodes=1_000_000)[1].select("id", "src", "dst")
+
+
+def _paths(start: str, end: str, depth: int) -> dict[str, str]:
+    """Counts of shortest paths from start by level."""
+    out = {"pair": PAIRS, "c0": f"SELECT '{start}' AS node, 0 AS depth, 1::HUGEINT AS paths"}
+    for d in range(1, depth + 1):
+        out[f"c{d}"] = f"SELECT * FROM c{d - 1} UNION ALL SELECT p.b, {d}, sum(x.paths)::HUGEINT FROM pair p JOIN c{d - 1} x ON x.node = p.a AND x.depth = {d - 1} WHERE p.b NOT IN (SELECT node FROM c{d - 1}) GROUP BY 1"
+    return out
+
+
+@registered("G2_shortest_paths_total", sql("SELECT depth AS length, paths::BIGINT AS total FROM c4 WHERE node = 'customer:2'", **_paths("customer:1", "customer:2", 4)))
+def shortest_paths_total(spark, sf_dir, store):
+    rows = graph.shortest_paths(store, "customer:1", "customer:2", max_depth=4, max_paths=1)
+    return rows.select("length", F.col("total").cast("long").alias("total"))
+
+
+@registered("G2_shortest_paths", sql("""SELECT array_to_string([a.a, a.b, b.b, c.b, d.b], ' ') AS nodes FROM pair a JOIN pair b ON b.a = a.b JOIN pair c ON c.a = b.b JOIN pair d ON d.a = c.b WHERE a.a = 'supplier:1' AND d.b = 'region:0'
+    AND (SELECT depth FROM c4 WHERE node = 'region:0') = 4 AND b.b NOT IN (a.a) AND c.b NOT IN (a.a, a.b) ORDER BY d.b, c.b, b.b, a.b LIMIT 20""", **_paths("supplier:1", "region:0", 4)))
+def shortest_paths(spark, sf_dir, store):
+    rows = graph.shortest_paths(store, "supplier:1", "region:0", max_depth=4, max_paths=20).where("length = 4")
+    return rows.select(F.array_join("nodes", " ").alias("nodes"))
+
+
+@registered("G3_path_to_targets")
+def path_to_targets(spark, sf_dir, store):
+    return graph.path_to_targets(store, "order:1", ["region:0", "region:1", "region:2", "region:3", "region:4"])
+
+
+@registered("G4_common_neighbors", sql("""SELECT neighbor, count(*) AS shared_count, string_agg(node, ',' ORDER BY node) AS shared_with FROM (SELECT DISTINCT dst AS node, src AS neighbor FROM edge WHERE predicate_id = 'contains'
+    AND dst IN ('part:1', 'part:2', 'part:3', 'part:4', 'part:5')) GROUP BY 1 HAVING count(*) >= 2"""))
+def common_neighbors(spark, sf_dir, store):
+    return graph.common_neighbors(store, [f"part:{i}" for i in range(1, 6)], ["contains"], "in", 2)
+
+
+NEAR = "SELECT DISTINCT dst AS node, src AS neighbor FROM edge WHERE predicate_id = 'contains'"
+
+
+@registered("G5_similar", sql("""SELECT s.node AS id, s.overlap, round(s.overlap / (z.n + (SELECT count(*) FROM near WHERE node = 'part:1') - s.overlap), 9) AS score FROM (SELECT b.node, count(*) AS overlap FROM near a JOIN near b
+    ON b.neighbor = a.neighbor AND b.node <> a.node WHERE a.node = 'part:1' GROUP BY 1) s JOIN (SELECT node, count(*) AS n FROM near GROUP BY 1) z ON z.node = s.node""", near=NEAR))
+def similar(spark, sf_dir, store):
+    return graph.similar(store, "part:1", ["contains"], "in").withColumn("score", F.round("score", 9))
+
+
+@registered("G6_top_degree", sql("SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) WHERE id LIKE 'part:%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
+def top_degree(spark, sf_dir, store):
+    return graph.of_type(store, graph.degrees(graph.edges(store), 2), "Part").orderBy(F.desc("degree"), "id").limit(20)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = {
+        "ends": "SELECT src AS a, dst AS b FROM edge UNION ALL SELECT dst, src FROM edge",
+        "od": "SELECT a, count(*) AS d FROM ends GROUP BY 1",
+        "node": "SELECT e.id, o.d FROM ent e LEFT JOIN od o ON o.a = e.id WHERE e.merged_into IS NULL",
+        "nn": "SELECT count(*)::DOUBLE AS n FROM node",
+        "r0": "SELECT id, d, 1.0 / (SELECT n FROM nn) AS r FROM node",
+    }
+    for i in range(1, rounds + 1):
+        parts[f"r{i}"] = (
+            f"SELECT x.id, x.d, 0.15 / (SELECT n FROM nn) + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE d IS NULL) / (SELECT n FROM nn)) AS r FROM node x "
+            f"LEFT JOIN (SELECT e.b, sum(p.r / p.d) AS got FROM ends e JOIN r{i - 1} p ON p.id = e.a GROUP BY 1) g ON g.b = x.id"
+        )
+    return sql(f"SELECT id AS node, round(r, 9) AS pagerank FROM r{rounds}", **parts)
+
+
+@registered("G7_pagerank", _pagerank_sql(3))
+def pagerank(spark, sf_dir, store):
+    nodes = store.entities.where("merged_into IS NULL").select(F.col("id").alias("node"))
+    return graph.pagerank(stored(spark, graph.edges(store), "edges"), nodes, rounds=3).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@registered("G8_betweenness")
+def betweenness(spark, sf_dir, store):
+    """Of the places, suppliers and customers: exact on the part of the graph that `located_in` and `part_of` span, from suppliers."""
+    e = graph.edges(store, ["located_in", "part_of"])
+    pivots = store.entities.where("type_id = 'Supplier'").select(F.col("id").alias("node"))
+    return graph.betweenness(e, pivots)
+
+
+@registered("G9_clusters")
+def clusters(spark, sf_dir, store):
+    return graph.clusters(graph.edges(store, ["located_in", "part_of"]))
+
+
+@registered("G10_metrics")
+def metrics(spark, sf_dir, store):
+    return graph.metrics(store, rounds=3)
+
+
+@registered("G11_skeleton")
+def skeleton(spark, sf_dir, store):
+    return graph.skeleton(stored(spark, graph.metrics(store, rounds=3), "metrics"))
+
+
+@registered("G12_snapshot", sql("""SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT id FROM top) AND e.dst IN (SELECT id FROM top)""",
+    top="SELECT id FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) JOIN ent USING (id) ORDER BY degree DESC, created_at DESC, id LIMIT 100"))
+def snapshot(spark, sf_dir, store):
+    return graph.snapshot(store)[1].select("id", "src", "dst")
+
+
+@registered("G13_positions", "SELECT user_id::VARCHAR AS node, arg_max(value, ts) AS x, arg_max(event_id, ts)::DOUBLE AS y FROM events GROUP BY 1")
+def positions(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return graph.positions(rows.select(F.col("user_id").cast("string").alias("node"), F.col("ts").alias("at"), F.col("value").alias("x"), F.col("event_id").cast("double").alias("y")))
+
+
+@registered("G15_ghosts", sql("""SELECT x.node, d.degree - coalesce(i.n, 0) AS ghosts FROM l1 x JOIN (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) d ON d.id = x.node
+    LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src AS id, dst AS o FROM edge UNION ALL SELECT dst, src FROM edge) WHERE o IN (SELECT node FROM l1) AND id IN (SELECT node FROM l1) GROUP BY 1) i ON i.id = x.node""", **_bfs("customer:1", 1)))
+def ghosts(spark, sf_dir, store):
+    nodes, inside = graph.neighborhood(store, "customer:1", 1, max_nodes=1_000_000)
+    own = graph.degrees(inside).select(F.col("id").alias("node"), F.col("degree").alias("inside"))
+    return nodes.join(own, "node", "left").select("node", (F.col("degree") - F.coalesce("inside", F.lit(0))).alias("ghosts"))
+
+
+# -- text, vectors, resolution
+
+GRAMS = "SELECT id, substr(t, i, 3) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT id, '  ' || lower(trim(label)) || '  ' AS t FROM ent WHERE type_id = 'Nation'))"
+HASHED = "SELECT id, ('0x' || substr(sha1(g), 14, 3))::INTEGER & 1023 AS dim, CASE WHEN substr(sha1(g), 1, 1) >= '8' THEN -1.0 ELSE 1.0 END AS sign FROM grams"
+VECTORS = "SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM (SELECT id, dim, sum(sign)::DOUBLE AS x FROM hashed GROUP BY 1, 2 HAVING sum(sign) <> 0)"
+
+
+@registered("R1_embed", sql("SELECT id, dim, round(w, 9) AS w FROM vec", grams=GRAMS, hashed=HASHED, vec=VECTORS))
+def embed(spark, sf_dir, store):
+    return resolve.embed(store.entities.where("type_id = 'Nation'"), "id", "label").withColumn("w", F.round("w", 9))
+
+
+@registered("R2_label_similarity", sql("SELECT a.id AS query, b.id, round(sum(a.w * b.w), 9) AS similarity FROM vec a JOIN vec b USING (dim) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5", grams=GRAMS, hashed=HASHED, vec=VECTORS))
+def label_similarity(spark, sf_dir, store):
+    v = resolve.embed(store.entities.where("type_id = 'Nation'"), "id", "label")
+    return resolve.cosine(v.withColumnRenamed("id", "query"), v, 0.5).withColumn("similarity", F.round("similarity", 9))
+
+
+@registered("R2_nearest_vectors", """SELECT query, id, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 20 = 0) WHERE place <= 5""")
+def nearest_vectors(spark, sf_dir, store):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    return resolve.nearest(asked, v, 5).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@registered("R3_semantic_search")
+def semantic_search(spark, sf_dir, store):
+    return resolve.semantic_search(store, "NATION_1", "Place", 10)
+
+
+@registered("R5_resolve")
+def resolve_batch(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ref"), F.lit("Agent").alias("type_id"), F.lower("s_name").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("key"))
+    return resolve.resolve(store, rows)
+
+
+@registered("R6_get_or_create", """SELECT s_suppkey AS ref, s_suppkey % 2 = 1 AS created FROM supplier""")
+def get_or_create(spark, sf_dir, store):
+    fresh = F.concat(F.lit("Brand new house "), F.reverse(F.sha1(F.col("s_suppkey").cast("string"))))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ref"), F.lit("Supplier").alias("type_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(fresh).alias("label"))
+    return resolve.get_or_create(store, rows.withColumn("key", F.col("label"))).select("ref", "created")
+
+
+@registered("X4_canonical", "SELECT 'customer:' || c_custkey AS id, 'customer:' || (c_custkey - (c_custkey % 100 - 97)) AS canonical_id FROM customer WHERE c_custkey % 100 >= 98")
+def canonical(spark, sf_dir, store):
+    return resolve.canonical_ids(store.entities)
+
+
+@registered("R7_merge_rewrite", """SELECT 'customer:' || CASE WHEN o_custkey % 100 >= 98 THEN o_custkey - (o_custkey % 100 - 97) ELSE o_custkey END AS customer, count(*) AS n FROM orders GROUP BY 1""")
+def merge_rewrite(spark, sf_dir, store):
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("subject_id"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("object_id"))
+    out = resolve.rewritten(raw, resolve.canonical_ids(store.entities))
+    return out.groupBy(F.col("object_id").alias("customer")).agg(F.count("*").alias("n"))
+
+
+# -- writes
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as `placed_by` candidates with faults by their key: of 20, 1 has no source, 2 a bad confidence, 3 an unknown customer, 4 an
+    unknown predicate, 5 a supplier as its customer, 6 a reversed window; the others are there already."""
+    k = F.col("o_orderkey") % 20
+    order = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    customer = F.concat(F.lit("customer:"), model.canonical_customer(F.col("o_custkey")).cast("string"))
+    none = lambda t: F.lit(None).cast(t)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("ord"), order.alias("subject_id"), F.when(k == 4, "was_placed").otherwise("placed_by").alias("predicate_id"), F.lit("entity").alias("value_type"),
+        F.when(k == 3, "customer:none").when(k == 5, "supplier:1").otherwise(customer).alias("object_id"),
+        none("string").alias("value_text"), none("double").alias("value_number"), none("string").alias("value_unit"), none("timestamp_ntz").alias("value_datetime"),
+        F.lit("normal").alias("rank"), F.when(k == 2, 1.5).otherwise(1.0).alias("confidence"), F.col("o_orderdate").alias("valid_from"),
+        F.when(k == 6, F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).when(k == 7, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("valid_to"),
+        F.when(k != 1, F.concat(F.lit("src:"), order)).alias("source_id"),
+    )
+
+
+@registered("V2_validate", """SELECT o_orderkey AS ord, CASE o_orderkey % 20 WHEN 1 THEN 'no source' WHEN 2 THEN 'bad confidence' WHEN 3 THEN 'unknown object' WHEN 4 THEN 'unknown predicate' WHEN 5 THEN 'range'
+    WHEN 6 THEN 'valid_from after valid_to' ELSE '' END AS problems FROM orders""")
+def validate(spark, sf_dir, store):
+    return write.validate(store, _candidates(spark, sf_dir)).select("ord", F.array_join("problems", "; ").alias("problems"))
+
+
+@registered("V3_plan_commit", "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 20 BETWEEN 1 AND 6 THEN 'reject' WHEN o_orderkey % 20 = 7 THEN 'insert' ELSE 'reconfirm' END AS outcome FROM orders")
+def plan_commit(spark, sf_dir, store):
+    return write.plan_commit(store, _candidates(spark, sf_dir)).select("ord", "outcome")
+
+
+@registered("V6_supersede", sql("""SELECT predicate_id, rank, system_to IS NULL AS current, count(*) AS n FROM (SELECT predicate_id, rank, CASE WHEN predicate_id = 'segment' AND system_to IS NULL THEN TIMESTAMP '2000-01-01' ELSE system_to END AS system_to
+    FROM stmt UNION ALL SELECT predicate_id, 'deprecated', NULL FROM stmt WHERE predicate_id = 'segment' AND system_to IS NULL) WHERE predicate_id IN ('segment', 'name') GROUP BY ALL"""))
+def supersede(spark, sf_dir, store):
+    said = store.statements.where(F.col("predicate_id").isin("segment", "name"))
+    out = write.deprecate(said, said.where("predicate_id = 'segment'").select("id"), "2000-01-01 00:00:00")
+    return out.groupBy("predicate_id", "rank", F.col("system_to").isNull().alias("current")).agg(F.count("*").alias("n"))
+
+
+@registered("V10_removable", sql(f"""SELECT e.id, NOT EXISTS (SELECT 1 FROM stmt WHERE {VISIBLE} AND (subject_id = e.id OR object_id = e.id)) AND e.merged_into IS NULL AND e.id NOT IN
+    (SELECT merged_into FROM ent WHERE merged_into IS NOT NULL) AS removable FROM ent e WHERE type_id IN ('Document', 'Customer', 'Page')"""))
+def removable(spark, sf_dir, store):
+    ids = store.entities.where(F.col("type_id").isin("Document", "Customer", "Page")).select("id")
+    return write.removable(store, ids).select("id", "removable")
+
+
+@registered("P1_closure", """WITH RECURSIVE t(id, parent) AS (VALUES ('Place', NULL), ('Region', 'Place'), ('Nation', 'Place'), ('Agent', NULL), ('Customer', 'Agent'), ('Supplier', 'Agent'), ('User', 'Agent'), ('Part', NULL), ('Document', NULL),
+    ('Page', NULL), ('Conversation', NULL), ('Happening', NULL), ('Order', 'Happening')), c AS (SELECT id AS type_id, id AS ancestor_id FROM t UNION ALL SELECT c.type_id, t.parent FROM c JOIN t ON t.id = c.ancestor_id WHERE t.parent IS NOT NULL)
+    SELECT type_id, ancestor_id FROM c""")
+def closure(spark, sf_dir, store):
+    return registry.closure(store.types)
+
+
+@registered("P5_review")
+def review(spark, sf_dir, store):
+    rows = [("likes", "Agent", None, "entity", "Part", "n:m", False, "liked_by"), ("liked_by", "Part", None, "entity", "Agent", "n:m", False, "likes"), ("code", None, None, "number", None, None, True, None)]
+    proposed = model.literal_table(spark, rows, "id string, domain_type string, domain_interface string, range_kind string, range_type string, cardinality string, identifying boolean, inverse_id string")
+    return registry.review(proposed, store.types).withColumn("problems", F.array_join("problems", "; "))
+
+
+@registered("P6_status", "SELECT user_id AS proposal_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")
+def proposal_status(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return registry.status(rows.select(F.col("user_id").alias("proposal_id"), F.col("event_id").alias("at"), F.col("event_type").alias("status")))
+
+
+# -- ingest, ad-hoc SQL, streams
+
+
+@registered("S12_links", """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""")
+def links(spark, sf_dir, store):
+    return ingest.links(spark.read.parquet(f"{sf_dir}/pages.parquet")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@registered("S9_content_hashes", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
+def content_hashes(spark, sf_dir, store):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@registered("I5_followers", """WITH r AS (SELECT event_id AS pos, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'user.' || user_id END AS username FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY pos) AS k FROM r)
+    SELECT pos, username, CASE WHEN username IS NULL THEN 'invalid' WHEN k > 1 THEN 'duplicate' WHEN username IN ('user.1', 'user.3') THEN 'confirmed' ELSE 'new_entity' END AS status FROM n""")
+def followers(spark, sf_dir, store):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.when(F.col("event_id") % 7 == 0, "not a name!").otherwise(F.concat(F.lit(" @@User."), F.col("user_id").cast("string"), F.lit(" ")))
+    known = model.literal_table(spark, [("user.1",), ("user.3",)], "username string")
+    return ingest.follower_rows(e.select(F.col("event_id").alias("pos"), name.alias("username")), known)
+
+
+@registered("A13_import_summary", "SELECT CASE WHEN event_id % 7 = 0 THEN 'invalid' WHEN k > 1 THEN 'duplicate' ELSE 'new_entity' END AS status, count(*) AS n FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_id % 7 = 0 ORDER BY event_id) AS k FROM events) GROUP BY 1")
+def import_summary(spark, sf_dir, store):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.when(F.col("event_id") % 7 == 0, "?").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return ingest.summary(ingest.follower_rows(e.select(F.col("event_id").alias("pos"), name.alias("username")), model.literal_table(spark, [("nobody",)], "username string")))
+
+
+@registered("I4_snapshot", """SELECT c_custkey::VARCHAR AS ref, CASE c_custkey % 4 WHEN 0 THEN NULL ELSE 'nation:' || CASE c_custkey % 4 WHEN 1 THEN c_nationkey ELSE (c_nationkey + 1) % 25 END END AS id,
+    CASE c_custkey % 4 WHEN 0 THEN 'new_entity' WHEN 1 THEN 'confirmed' ELSE 'new_statement' END AS status FROM customer""")
+def snapshot_import(spark, sf_dir, store):
+    k = F.col("c_custkey") % 4
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nation = F.when(k == 1, F.col("c_nationkey")).otherwise((F.col("c_nationkey") + 1) % 25).cast("string")
+    rows = c.select(F.col("c_custkey").cast("string").alias("ref"), F.when(k != 0, F.concat(F.lit("nation:"), nation)).alias("id"), F.lit("located_in").alias("predicate_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("owner"))
+    return ingest.snapshot_rows(rows, query.matching(store, predicate="located_in"))
+
+
+@registered("I1_extract", """SELECT c_custkey AS doc_id, 'name' AS predicate, c_name AS value, 0.95 AS confidence FROM customer UNION ALL SELECT c_custkey, 'alias', c_mktsegment, 0.9 FROM customer
+    UNION ALL SELECT c_custkey, 'knows', 'Customer ' || c_nationkey, 0.85 FROM customer""")
+def extract(spark, sf_dir, store):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = F.to_json(F.struct(F.lit("person").alias("kind"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.array(F.struct(F.concat(F.lit("Customer "), F.col("c_nationkey").cast("string")).alias("name"))).alias("knows"), F.col("c_acctbal").alias("worth")))
+    return ingest.extract_profile(c.select(F.col("c_custkey").alias("doc_id"), raw.alias("raw")))[0]
+
+
+@registered("I1_proposals", "SELECT c_custkey AS doc_id, 'worth' AS field FROM customer")
+def proposals(spark, sf_dir, store):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    raw = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("worth")))
+    return ingest.extract_profile(c.select(F.col("c_custkey").alias("doc_id"), raw.alias("raw")))[1]
+
+
+@registered("Q1_guarded_sql", sql("SELECT predicate_id, count(*) AS n FROM stmt s JOIN ent e ON e.id = s.subject_id WHERE s.rank = 'preferred' GROUP BY 1"))
+def guarded_sql(spark, sf_dir, store):
+    text = "WITH p AS (SELECT * FROM v_statements WHERE rank = 'preferred') SELECT predicate_id, count(*) AS n FROM p GROUP BY predicate_id"
+    return sqlguard.run(spark, text, query.views(store))[0]
+
+
+@registered("T1_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def tumbling(spark, sf_dir, store):
+    return jobs.tumbling(spark, f"{sf_dir}/events.parquet")
+
+
+@registered("T1_sliding", "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts)::TIMESTAMP, date_trunc('day', ts)::TIMESTAMP - INTERVAL 1 DAY]) AS start FROM events) GROUP BY 1")
+def sliding(spark, sf_dir, store):
+    return jobs.sliding(spark, f"{sf_dir}/events.parquet")
+
+
+@registered("T1_sessions", """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
+def sessions(spark, sf_dir, store):
+    return jobs.sessions(spark, f"{sf_dir}/events.parquet")
+
 
-def queries() -> dict:
-    return {}
+@registered("T4_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def latest(spark, sf_dir, store):
+    return jobs.latest(spark, f"{sf_dir}/events.parquet")
 
 
-def oracle_sql() -> dict:
-    return {}
+@registered("T1_deduplicated", "SELECT DISTINCT event_id, event_type FROM events")
+def deduplicated(spark, sf_dir, store):
+    return jobs.deduplicated(spark, f"{sf_dir}/events.parquet")
