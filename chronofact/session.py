@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +51,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each context; what --py-files does for a submitted job."""
+    context = spark.sparkContext
+    if getattr(context, "_chronofact_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/chronofact", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._chronofact_shipped = True
