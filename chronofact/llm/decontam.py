@@ -23,7 +23,7 @@ WINDOW = 13
 BROADCAST_ROWS = 500_000
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count says that it is small. df is stored, so that counting is cheap."""
     return F.broadcast(df) if df.count() <= most else df
 
@@ -45,7 +45,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings of some terms (a stored column term): term, doc_id, hash, pos; stored."""
     tokens = docs.select("doc_id", "hash", F.posexplode("words").alias("pos", "term"))
-    return stored(docs.sparkSession, tokens.join(_small(terms), "term"), "postings")
+    return stored(docs.sparkSession, tokens.join(small(terms), "term"), "postings")
 
 
 def item_windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -86,19 +86,19 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     place = windows.select("item_id", "item_hash", F.explode(F.array(F.struct(F.col("p1").alias("p"), F.col("t1").alias("term")), F.struct(F.col("p2").alias("p"), F.col("t2").alias("term")))).alias("a"))
     places = stored(spark, place.where("a.p IS NOT NULL").select("item_id", "item_hash", F.col("a.p").alias("p"), F.col("a.term").alias("term")).distinct(), "places")
     postings = index(docs, stored(spark, places.select("term").distinct(), "anchors"))
-    shifts = postings.join(_small(places), "term").select("doc_id", "hash", "item_id", "item_hash", (F.col("pos") - F.col("p")).alias("shift"), "p")
+    shifts = postings.join(small(places), "term").select("doc_id", "hash", "item_id", "item_hash", (F.col("pos") - F.col("p")).alias("shift"), "p")
     shifts = shifts.groupBy("doc_id", "hash", "item_id", "item_hash", "shift").agg(F.collect_set("p").alias("found"))
     each = windows.groupBy("item_id", "item_hash").agg(F.collect_list(F.struct("at", "size", "p1", "p2")).alias("w"))
     whole = items.select(F.col("item_id").alias("i"), F.col("hash").alias("ih"), F.col("words").alias("item_words"))
     each = each.join(whole, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih"))).select("i", "ih", "w", "item_words")
-    each = _small(stored(spark, each, "item-windows"), 20_000)
+    each = small(stored(spark, each, "item-windows"), 20_000)
     both = lambda x: F.array_contains("found", x["p1"]) & (x["p2"].isNull() | F.array_contains("found", x["p2"]))
     candidates = shifts.join(each, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
     candidates = candidates.withColumn("w", F.filter("w", lambda x: both(x) & (x["at"] + F.col("shift") >= 0))).where(F.size("w") > 0)
     candidates = stored(spark, candidates.select("doc_id", "hash", "item_id", "item_hash", "shift", "w", "item_words"), "candidates")
     keys = stored(spark, candidates.select(F.col("doc_id").alias("d"), F.col("hash").alias("h")).distinct(), "candidate-docs")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
-    texts = docs.join(_small(keys), same, "left_semi").select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "words")
+    texts = docs.join(small(keys), same, "left_semi").select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "words")
     rows = candidates.join(texts, same)
     there = lambda x: F.slice("words", x["at"] + F.col("shift") + 1, x["size"]) == F.slice("item_words", x["at"] + 1, x["size"])
     span = lambda x: F.struct((x["at"] + F.col("shift")).cast("long").alias("start"), (x["at"] + F.col("shift") + x["size"]).cast("long").alias("end"))
@@ -139,7 +139,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 8) -> DataFrame
     pairs = stored(spark, pairs, "term-pairs")
     postings = index(parsed, stored(spark, pairs.select(F.explode(F.array("t1", "t2")).alias("term")).distinct(), "anchors"))
     block = F.floor(F.col("pos") / slop)
-    first = postings.join(_small(pairs), postings["term"] == pairs["t1"]).select("doc_id", "hash", "item_id", "t2", F.col("pos").alias("p1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    first = postings.join(small(pairs), postings["term"] == pairs["t1"]).select("doc_id", "hash", "item_id", "t2", F.col("pos").alias("p1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
     second = postings.select(F.col("term").alias("t2"), "doc_id", "hash", block.alias("block"), F.col("pos").alias("p2"))
     near = first.join(second, ["t2", "doc_id", "hash", "block"]).where(F.abs(F.col("p1") - F.col("p2")).between(1, slop))
     return near.select("doc_id", "item_id", F.least("p1", "p2").alias("start"), (F.greatest("p1", "p2") + 1).alias("end")).distinct()

@@ -158,3 +158,22 @@ def near_duplicates(docs: DataFrame, n: int = 3, bits: int = 2, crowd: int = 16)
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = stored(spark, classes.join(ids, "root").select("fp", "component_id"), "simhash-ids")
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 3, bits: int = 2) -> DataFrame:
+    """docs with one row of each component: the least by doc_id (null ids last), then by the hash of its text. Rows that repeat in
+    both are one row too. Other columns are as they were."""
+    spark = docs.sparkSession
+    row = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
+    own = named(docs, "doc_id", "text")
+    fps = own.select(F.struct(*row).alias("doc_id"), "text")
+    found = stored(spark, fingerprints(fps, n), "simhash-rows")
+    classes = stored(spark, found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    roots = components(links(classes.select("fp"), bits))
+    roots = classes.join(roots, classes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    kept = stored(spark, roots.agg(F.min("least").alias("k")).select("k.id", "k.hash"), "simhash-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    out = docs.join(kept, same, "left_semi")
+    if found.count() == found.select("doc_id").distinct().count():
+        return out
+    return out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
