@@ -224,5 +224,5 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, **
     """
     fresh = docs.drop(*COUNTS, "base_failed", "kept", "_s")
     stats = stored(docs.sparkSession, statistics(fresh).select(*(carry or fresh.columns), *COUNTS), "quality")
-    rules = learn(stats, labels, **learning)
+    rules = learn(stats.select("doc_id", *COUNTS), labels, **learning)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofact.llm.text import named
+from chronofact.llm.text import apart, named
 from chronofact.session import stored
 
 SEED = 42
@@ -164,6 +164,7 @@ def keep_one(docs: DataFrame, n: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each component: the least by doc_id (null ids last), then by the hash of its text. Rows that repeat in
     both are one row too. Other columns are as they were."""
     spark = docs.sparkSession
+    docs, back = apart(docs, "doc_id", "text")
     row = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")]
     own = named(docs, "doc_id", "text")
     fps = own.select(F.struct(*row).alias("doc_id"), "text")
@@ -175,5 +176,5 @@ def keep_one(docs: DataFrame, n: int = 3, bits: int = 2) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
     out = docs.join(kept, same, "left_semi")
     if found.count() == found.select("doc_id").distinct().count():
-        return out
-    return out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+        return back(out)
+    return back(out.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]))

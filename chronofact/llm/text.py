@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +37,12 @@ def named(df: DataFrame, *names: str) -> DataFrame:
         first.setdefault(c.lower(), i)
     fresh = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return fresh.select(*[F.col(f"_{first[n]}").alias(n) for n in names])
+
+
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the named columns as they are and all others under names that no operator uses, and what puts the columns
+    back. So columns that docs happens to have can't clash with those of an operator."""
+    lower = [c.lower() for c in docs.columns]
+    at = {lower.index(n.lower()): n for n in names}
+    fresh = [at.get(i, f"_column_{i}") for i in range(len(docs.columns))]
+    return docs.toDF(*fresh), lambda df: df.select(*fresh).toDF(*docs.columns)

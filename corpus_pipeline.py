@@ -10,33 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact.llm import decontam, packing, quality, queries, secrets, simhash
+from chronofact.llm.text import apart
 from chronofact.session import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
     labels = queries.table(spark, sf_dir, "labels")
-    return quality.judge(docs, labels).where("kept").select(*docs.columns)
+    own, back = apart(docs, "doc_id", "text")
+    return back(quality.judge(own, labels).where("kept"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contaminated ones. These are few, and taken out by an anti join on doc_id and text."""
+    docs, back = apart(docs, "doc_id", "text")
     found = decontam.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
     bad = stored(spark, found.where("contaminated").select(F.col("doc_id").alias("d"), F.col("hash").alias("h")).distinct(), "contaminated")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("h"))
-    return docs.join(decontam.small(bad), same, "left_anti").select(*docs.columns)
+    return back(docs.join(decontam.small(bad), same, "left_anti"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark; n_chars, where there is one, counts the new text."""
-    fresh = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
-    found = secrets.scan(docs, redact=True)
-    return found.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+    own, back = apart(docs, *[c for c in docs.columns if c in ("text", "n_chars")])
+    found = secrets.scan(own, redact=True).withColumn("text", F.col("redacted"))
+    if "n_chars" in own.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(dict(own.dtypes)["n_chars"]))
+    return back(found)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
