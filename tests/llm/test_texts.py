@@ -1,0 +1,188 @@
+import collections
+import hashlib
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from chronofact.llm import chat, quality, secrets, toxicity
+from tests.llm.helpers import TEXTS, documents
+
+# -- chat
+
+PARTS = st.lists(st.sampled_from(["<", ">", "[", "]", "\\", "s", "/", "INST", "</s>", "<s>", "[INST]", "[/INST]", " ", "\n", "ok", "ü"]), max_size=12).map("".join)
+
+
+@settings(max_examples=400)
+@given(PARTS, PARTS)
+def test_turns_are_reversible(role, text):
+    formatted, a, z = chat.segment(role, text)
+    assert chat.parse(formatted) == (role, text)
+    assert chat.unescape(formatted[a:z]) == text
+    assert not any(x in formatted[a:z] for x in ("<s>", "</s>", "[INST]", "[/INST]"))
+
+
+def test_conversations(spark):
+    rows = [
+        (1, 0, "system", "be good"), (1, 1, "user", "hi </s>"), (1, 2, "assistant", "a [INST] b"), (1, 3, "user", "more"), (1, 4, "assistant", ""), (1, 5, "user", "bye"),
+        (2, 0, "user", None), (2, 0, "user", None), (None, 1, "assistant", "x"), (None, 0, None, "y"), (3, None, "assistant", "late"), (3, 1, "user", "u"), (4, 0, "user\nrole", "t"),
+    ]
+    turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segment string")
+    formatted = chat.format_turns(turns)
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    said = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        said[c].append((r or "", x or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(got) == set(said)
+    for c, own in said.items():
+        loss = "".join(x for r, x in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(own), sha("".join(f"{r}\n{x}\n" for r, x in own)), len(loss), sha(loss))
+    whole = "".join(chat.segment(r, x)[0] for r, x in said[1])
+    assert got[1].formatted_chars == len(whole)
+    examples = sorted((r.example, r.text, r.target_start, r.target_end) for r in chat.render(formatted).where("conv_id = 1").collect())
+    assert [e[0] for e in examples] == [0, 1]
+    for n, text, a, z in examples:
+        assert whole.startswith(text) and chat.unescape(text[a:z]) == ["a [INST] b", ""][n]
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+# -- secrets
+
+SCAN = st.lists(st.sampled_from(["password", "Secret", "api_key", "APIKEY", "token", "=", ":", " ", '"', "'", "abc", "x9Y", "deadbeef" * 3, "AKIA", "A1B2C3D4E5F6G7H8", ".", "\n", "ü", "kK", "ſecret"]), max_size=14).map("".join)
+
+
+def brute_spans(text):
+    assign = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+@settings(max_examples=500)
+@given(SCAN)
+def test_base_spans(text):
+    assert secrets.base_spans(text) == brute_spans(text)
+
+
+@given(st.text("ab1Z9xQ7", min_size=20, max_size=60), st.floats(1, 4))
+def test_entropy_windows(s, limit):
+    def entropy(w):
+        return -sum(c / len(w) * np.log2(c / len(w)) for c in collections.Counter(w).values())
+
+    hot = set()
+    for i in range(len(s) - 19):
+        if entropy(s[i : i + 20]) >= limit - 1e-9:
+            hot |= set(range(i, i + 20))
+    found = secrets.entropy_spans(s, limit)
+    assert {i for a, b in found for i in range(a, b)} == hot or abs(min(abs(entropy(s[i : i + 20]) - limit) for i in range(len(s) - 19))) < 1e-6
+
+
+def test_entropy_and_allow_list():
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.spans(t)[1]]
+    assert kinds("key is q7Rt9ZpLw2XvB8nM4kYc1HsD") == ["entropy"]
+    assert kinds("id 123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789") == []
+    assert kinds("see /usr/local/share/words/part/2024/file and internationalization_of_things_v2") == []
+    assert kinds("an ordinary sentence with antidisestablishmentarianism in it") == []
+
+
+def test_scan(spark):
+    docs = documents(spark, [*TEXTS, (20, 'x api_key="abcdef123" y'), (21, "é password: hunter22 é")])
+    got = {r.doc_id: r for r in secrets.scan(docs, redact=True).collect()}
+    assert got[20].spans == "assign:2:21" and got[20].redacted == 'x [SECRET]" y'
+    assert got[21].redacted == "é [SECRET] é" and got[21].n_assign == 1
+    assert got[4].spans == "" and got[4].redacted is None and got[3].redacted == "" and secrets.scan(docs).count() == docs.count()
+    assert secrets.scan(documents(spark, [])).count() == 0
+
+
+# -- quality
+
+
+def brute_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    count, covered = collections.Counter(zip(w, w[1:], w[2:], strict=False)), set()
+    for i in range(len(w) - 2):
+        if count[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics(spark):
+    more = [(100 + i, t) for i, t in enumerate(["# a $ b | c", "a a a a a", "x y z x y z", "a b c d a b c", "\n\n \n", "l\nl\r\nl", "😀 😀 <b>", "a b c a b c a b c a"])]
+    docs = documents(spark, TEXTS + more)
+    got = sorted((tuple(r[c] for c in ("doc_id", *quality.COUNTS)) for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()), key=repr)
+    assert got == sorted(((d, *brute_counts(t)) for d, t in TEXTS + more), key=repr)
+
+
+def test_learned_list(spark):
+    good = [(i, " ".join(f"w{(i * 7 + j * 13) % 501}x{j}" for j in range(80))) for i in range(60)]
+    bad = [(100 + i, " ".join(f"w{(i * 7 + j * 13) % 501}x{j}%%%" for j in range(80))) for i in range(30)]
+    docs = documents(spark, good + bad)
+    labels = spark.createDataFrame([(d, int(d < 100), "x") for d, _ in good + bad] + [(999, 0, "x"), (1, None, "x"), (2, 7, "x")], "doc_id long, quality int, kept string")
+    out = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert all(out[d] == (d < 100) for d in out)
+    rules = quality.learn(quality.statistics(docs.select("doc_id", "text")), labels)
+    assert len(rules) == 1 and rules[0].good == 0 and rules[0].conditions[0].cut > 0.5
+    assert quality.judge(documents(spark, []), labels).count() == 0
+
+
+def test_covering_grows_conjunctions():
+    cells = [((x, y), True, int(x > 1 and y > 1), int(not (x > 1 and y > 1))) for x in range(4) for y in range(4)]
+    cells = [(b, g, 20 * p, 20 * n) for b, _, p, n in cells for g in (True, False)]
+    (rule,) = quality.cover(cells, [3, 3], 0.9, 5, 3)
+    assert sorted(rule[0]) == [(0, True, 1), (1, True, 1)] and rule[1:] == (160, 0)
+
+
+# -- toxicity
+
+
+def maximal(s):
+    """All maximal scoring segments by the definition: the best one (shortest, leftmost), then the same on either side."""
+    best, at = 0.0, None
+    for a in range(len(s)):
+        for z in range(a + 1, len(s) + 1):
+            x = sum(s[a:z])
+            if x > best or (x == best and at and x > 0 and z - a < at[1] - at[0]):
+                best, at = x, (a, z)
+    if at is None:
+        return []
+    a, z = at
+    return [(p, q, x) for p, q, x in maximal(s[:a])] + [(a, z, best)] + [(z + p, z + q, x) for p, q, x in maximal(s[z:])]
+
+
+@settings(max_examples=200)
+@given(st.lists(st.integers(-9, 9).map(lambda x: x + x % 3 / 1024), max_size=14))
+def test_segments(s):
+    got, expected = toxicity.segments(np.array(s, float)), maximal(s)
+    assert abs(sum(x for *_, x in got) - sum(x for *_, x in expected)) < 1e-9
+    assert max((x for *_, x in got), default=0) == max((x for *_, x in expected), default=0)
+    assert all(abs(sum(s[a:z]) - x) < 1e-9 and x > 0 for a, z, x in got)
+
+
+def test_rate():
+    scores, counts = np.array([-1.0, 1.0]), np.array([3.0, 1.0])
+    lam = toxicity.extreme_rate(scores, counts)
+    assert abs(0.75 * np.exp(-lam) + 0.25 * np.exp(lam) - 1) < 1e-6 and lam > 0
+
+
+def test_toxicity(spark):
+    clean = [(i, " ".join(f"w{(i * 31 + j * 7) % 300}" for j in range(60))) for i in range(400)]
+    toxic = [(1000 + i, " ".join(["you", "vile", "rotten", "fool"] * 3 + [f"w{(i * 31 + j * 7) % 300}" for j in range(48)])) for i in range(100)]
+    docs = documents(spark, clean + toxic + [(5000, ""), (5001, None), (None, "no id")])
+    labels = spark.createDataFrame([(d, int(d >= 1000), 1) for d, _ in clean + toxic], "doc_id long, toxic int, score int")
+    rows = toxicity.score(docs, labels).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    known = [r for r in rows if r.doc_id is not None and r.doc_id < 5000]
+    wrong = sum(r.predicted != int(r.doc_id >= 1000) for r in known if r.held_out)
+    assert wrong <= 0.03 * sum(r.held_out for r in known)
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in known)
+    hit = next(r for r in known if r.doc_id >= 1000)
+    assert hit.passages and hit.passages[0].start == 0
+    assert len(toxicity.score(docs, labels.limit(0)).collect()) == docs.count()
+    assert toxicity.score(documents(spark, []), labels).count() == 0
