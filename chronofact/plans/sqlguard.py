@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 DENIED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "version", "read_files"}
 #: Nodes a query may consist of at its root.
 ROOTS = {"Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Distinct", "Union", "UnresolvedWith", "UnresolvedHaving", "Intersect", "Except", "WithWindowDefinition", "Offset", "Tail"}
+#: Expressions that hold a plan.
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
 
 
 def _seq(x) -> list:
@@ -30,7 +32,7 @@ def _plans(node) -> Iterator:
         yield from _plans(child)
     for e in _seq(node.expressions()):
         for sub in _expressions(e):
-            if hasattr(sub, "plan") and "Subquery" in _name(sub) or _name(sub) in ("Exists", "ListQuery"):
+            if _name(sub) in SUBQUERIES:
                 yield from _plans(sub.plan())
 
 
