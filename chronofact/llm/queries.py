@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "part", "position")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +79,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+OP3 = f"""
+WITH dl AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+il AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ii AS (SELECT item_id, w, least(13, len(w)) AS n FROM il WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM ii),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM ii)),
+dg AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dl, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item_id FROM dg JOIN iw USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dl LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN strlen(h) >= 100 AND page_id <> first THEN first END AS refers_to,
+array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1) AS url_key,
+strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS timestamp FROM p
+"""
+
+
+def _prefixes_sql() -> str:
+    """The longest fitting prefix rule as a CASE over the rules, longest first."""
+    cases = []
+    for rule, verdict in sorted(urlrules.PREFIXES, key=lambda r: -len(r[0])):
+        name, _, rest = rule.partition("/")
+        cases.append(f"WHEN (host = '{name}' OR host LIKE '%.{name}') AND starts_with(path, '/{rest}') THEN {{'rule': '{rule}', 'verdict': '{verdict}'}}")
+    return "CASE " + " ".join(cases) + " END"
+
+
+OP5 = (
+    "WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "') AS host, "
+    "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages), r AS (SELECT *, " + _prefixes_sql() + " AS best FROM p) "
+    "SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN "
+    + " OR ".join(f"regexp_matches(host || path, '{expression}')" for _, verdict, expression, _ in urlrules.PATTERNS if verdict == "block")
+    + " THEN 'block' ELSE 'allow' END) AS verdict FROM r"
+)
+
+OP7 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+s AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\])')) + CASE WHEN role = 'assistant' THEN 9 ELSE 19 + length(role) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can state a result; the other operators are tested against brute force."""
+    return {"op3_decontamination": OP3, "op4_warc": OP4, "op5_url_filters": OP5, "op7_chat_formatting": OP7}
