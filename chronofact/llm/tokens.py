@@ -14,46 +14,69 @@ import struct
 #: A run of white space up to its last character, a word with a space before it, or one character of white space: cuts
 #: that agree with those of the tokenizer's own pattern.
 PIECE = re.compile(r"\s+(?!\S)| ?\S+|\s")
-#: White space runs of two or more need PIECE; U+001C to U+001F are white space to re, but not to the tokenizer.
-RUNS = re.compile(r"\s\s")
-ODD = re.compile(r"[\x00\x1c-\x1f]")
+#: What needs the tokenizer itself (white space to re, but not to the tokenizer), and what needs PIECE: white space other
+#: than spaces and line ends, and runs of these. Looked for as plain strings, which is faster than a pattern.
+ODD = tuple(map(chr, (0, *range(0x1C, 0x20))))
+SPACES = tuple(map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+RUNS = ("  ", "\n\n", " \n", "\n ")
+ASCII_SPACES = SPACES[:4]
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. most: pieces remembered, each of 64 characters or fewer."""
+    """Ids as little-endian unsigned 32-bit bytes. most: pieces of a generation; two generations are remembered, pieces of
+    64 characters or fewer, so that what is in use outlives the others."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.table = _byte_characters()
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.most = most
+        self.ends = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def _learn(self, pieces: list[str]) -> None:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-            known[""] = b""
-        fresh = {p for p in pieces if p not in known}
-        # a letter and a final comma or full stop are two pieces to the tokenizer
-        split = {p for p in fresh if p[-1] in ",." and p[-2:-1].isalpha()}
-        whole = list((fresh - split) | {q for p in split for q in (p[:-1], p[-1]) if q not in known})
-        known.update(zip(whole, self._encode(whole), strict=True))
-        known.update((p, known[p[:-1]] + known[p[-1]]) for p in split)
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {"": b""}
+        known, old, rest = self.known, self.old, []
+        for p in set(pieces).difference(known):
+            ids = old.get(p)
+            if ids is None:
+                word, end = p, b""
+                if p[-1] in self.ends and p[-2:-1].isalpha():
+                    word, end = p[:-1], self.ends[p[-1]]  # two pieces to the tokenizer
+                if not (word[1:] if word[0] == " " else word).isalpha():
+                    rest.append(p)
+                    continue
+                # letters with or without a space before: one piece, so the library's model gets it without its splitter
+                found = self.model.tokenize(word.encode().decode("latin-1").translate(self.table))
+                ids = struct.pack(f"<{len(found)}I", *[x.id for x in found]) + end
+            known[p] = ids
+        if rest:
+            known.update(zip(rest, self._encode(rest), strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """Null is the empty text."""
         if not text:
             return b""
-        if ODD.search(text):
+        if any([c in text for c in ODD]):
             return self._encode([text])[0]
-        if RUNS.search(text):
+        if any([c in text for c in RUNS]) or any([c in text for c in (ASCII_SPACES if text.isascii() else SPACES)]):
             pieces = PIECE.findall(text)
         else:
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
