@@ -45,7 +45,8 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, percent
     grid = grid.reshape(nb, BLOCK)
     low = grid.min(axis=1) if nb else np.empty(0, np.uint32)
     off = grid - low[:, None]
-    typical = np.sort(off, axis=1)[:, max(0, int(np.ceil(percentile * BLOCK)) - 1)] if nb else low
+    k = max(0, int(np.ceil(percentile * BLOCK)) - 1)
+    typical = np.partition(off, k, axis=1)[:, k] if nb else low
     width = np.ceil(np.log2(typical.astype(np.float64) + 1)).astype(np.uint8)
     sizes = width.astype(np.uint64) * (BLOCK // 8)
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
@@ -53,9 +54,10 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, percent
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            bits = (off[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed[at[rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-    row, place = np.nonzero(off >= (np.uint64(1) << width.astype(np.uint64))[:, None])
+            for some in np.array_split(rows, len(rows) // 512 + 1):
+                packed[at[some].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)] = _low_bits(off[some], int(w))
+    most = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    row, place = np.nonzero(off > most[:, None])
     first = np.searchsorted(row, np.arange(nb + 1))
     head = np.array([n, len(doc_ids), nb, len(packed), len(row)], "<u8")
     parts = [
@@ -66,6 +68,14 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, percent
     return MAGIC + head.tobytes() + b"".join(p.tobytes() for p in parts)
 
 
+def _low_bits(off: np.ndarray, w: int) -> np.ndarray:
+    """The w low bits of each number, packed row by row, lowest first."""
+    if w in (8, 16, 32):
+        return np.ascontiguousarray(off.astype(f"<u{w // 8}")).view(np.uint8)
+    bits = np.unpackbits(off.astype("<u4").view(np.uint8).reshape(*off.shape, 4), axis=2, bitorder="little")[:, :, :w]
+    return np.packbits(bits.reshape(len(off), -1), axis=1, bitorder="little")
+
+
 class Shard:
     """Reads the bytes of a shard."""
 
@@ -95,6 +105,9 @@ class Shard:
             if w:
                 rows = np.flatnonzero(width == w)
                 got = self.packed[self.at[a:b][rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
+                if w in (8, 16, 32):
+                    out[rows] = got.view(f"<u{w // 8}")
+                    continue
                 bits = np.unpackbits(got, axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
                 whole = np.zeros((len(rows), BLOCK, 4), np.uint8)
                 low = np.packbits(bits, axis=2, bitorder="little")

@@ -286,3 +286,15 @@ def of_type(store: Store, scored: DataFrame, type_id: str) -> DataFrame:
     """Results (column id) of a type or below it; scores were taken on the whole graph."""
     own = store.entities.where(F.col("type_id").isin(registry.descendants(store.types, type_id))).select("id")
     return scored.join(own, "id", "left_semi")
+
+
+def evictions(loaded: DataFrame, keep: int) -> DataFrame:
+    """Of loaded nodes (node, touched_at, degree, protected) those to drop so that `keep` stay: the longest untouched first, then the lowest
+    degree; protected ones never."""
+    n = loaded.count()
+    return loaded.where("NOT protected").orderBy("touched_at", "degree", "node").limit(max(0, n - keep))
+
+
+def recompute_summary(measured: DataFrame, e: DataFrame) -> DataFrame:
+    """One row: entities, edges and communities of a metrics run."""
+    return measured.agg(F.count("*").alias("entities"), F.countDistinct("community").alias("communities")).crossJoin(e.agg(F.count("*").alias("edges")))  # single rows

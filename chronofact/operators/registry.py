@@ -75,3 +75,19 @@ def review(proposals: DataFrame, types: DataFrame) -> DataFrame:
 def status(events: DataFrame) -> DataFrame:
     """The state of proposals from an append-only log (proposal_id, at, status): the last event of each."""
     return events.groupBy("proposal_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"))
+
+
+def review_types(proposals: DataFrame, types: DataFrame, interfaces_known: list[str]) -> DataFrame:
+    """Proposed types (id, parent_id, kind, interfaces) with their problems: the parent exists and has the same kind, a root has a kind, and
+    all interfaces are known."""
+    parents = types.select(F.col("id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    rows = proposals.join(F.broadcast(parents), "parent_id", "left")
+    problem = lambda cond, text: F.when(cond, F.lit(text))
+    odd = F.array_except(F.coalesce("interfaces", F.array().cast("array<string>")), F.array(*[F.lit(i) for i in interfaces_known]).cast("array<string>"))
+    found = F.array_compact(F.array(
+        problem(F.col("parent_id").isNotNull() & F.col("parent_kind").isNull(), "unknown parent"),
+        problem(~F.coalesce(F.col("kind").isin("continuant", "occurrent"), F.lit(False)), "unknown kind"),
+        problem(F.col("parent_kind") != F.col("kind"), "kind differs from parent"),
+        problem(F.size(odd) > 0, "unknown interface"),
+    ))
+    return rows.select("id", found.alias("problems"))

@@ -691,3 +691,103 @@ def latest(spark, sf_dir, store):
 @registered("T1_deduplicated", "SELECT DISTINCT event_id, event_type FROM events")
 def deduplicated(spark, sf_dir, store):
     return jobs.deduplicated(spark, f"{sf_dir}/events.parquet")
+
+
+# -- more of the write path, the gate and the sources
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw values of all kinds, every third of them faulty."""
+    k, bad = F.col("o_orderkey") % 7, F.col("o_orderkey") % 3 == 0
+    keys = ["entity", "string", "number", "quantity", "datetime", "geo", "json"]
+    kind = F.element_at(F.array(*[F.lit(x) for x in keys]), (k + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    pair = lambda name, value: F.create_map(F.lit(name), F.when(~bad, value))
+    v = (
+        F.when(k == 0, pair("id", text(F.col("o_custkey")))).when(k == 1, pair("text", F.col("o_orderpriority")))
+        .when(k == 2, pair("number", F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("12.5"))).when(k == 3, F.map_concat(F.create_map(F.lit("unit"), F.lit("USD")), pair("number", F.lit("7"))))
+        .when(k == 4, pair("at", F.lit("1998-01-01 00:00:00"))).when(k == 5, F.map_concat(pair("lat", F.lit("48.5")), pair("lon", F.lit("9.25")))).otherwise(pair("json", F.lit('{"a": 1}')))
+    )
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"), kind.alias("value_type"), v.alias("v"))
+
+
+@registered("V1_normalize", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 0 THEN o_custkey::VARCHAR END AS object_id, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 1 THEN o_orderpriority END AS value_text,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 12.5 END WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 3 THEN 7.0 END::DOUBLE AS value_number,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 4 THEN TIMESTAMP '1998-01-01' END AS value_datetime, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 7 = 5 THEN '{"type":"Point","coordinates":[9.25,48.5]}' END AS value_geo,
+    CASE WHEN o_orderkey % 3 = 0 THEN ['entity needs id', 'string needs text', 'number expected', 'number expected', 'datetime expected', 'lat and lon expected', 'json expected'][o_orderkey % 7 + 1] END AS problem FROM orders""")
+def normalize(spark, sf_dir, store):
+    return write.normalize(_values(spark, sf_dir)).select("ord", "object_id", "value_text", "value_number", "value_datetime", "value_geo", "problem")
+
+
+@registered("V5_qualifiers", "SELECT o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'unknown predicate' WHEN 1 THEN 'kind can''t qualify' WHEN 2 THEN 'value type' END AS problem FROM orders")
+def qualifier_rules(spark, sf_dir, store):
+    k = F.col("o_orderkey") % 4
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.when(k == 0, "colour").otherwise("started").alias("predicate_id"), F.when(k == 1, "geo").when(k == 2, "string").otherwise("datetime").alias("value_type"))
+    return write.check_qualifiers(store, rows)
+
+
+@registered("V11_create_entities", """SELECT s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'unknown type' WHEN 1 THEN 'abstract type' END AS problem, CASE WHEN s_suppkey % 3 = 2 THEN 'supplier:' || s_suppkey END AS twins FROM supplier""")
+def create_entities(spark, sf_dir, store):
+    k = F.col("s_suppkey") % 3
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ord"), F.when(k == 0, "Robot").when(k == 1, "Agent").otherwise("Supplier").alias("type_id"), F.upper("s_name").alias("label"))
+    return write.plan_entities(store, rows)
+
+
+@registered("P4_review_types", """SELECT * FROM (VALUES ('City', ''), ('Ghost', 'unknown parent'), ('Party', 'kind differs from parent'), ('Odd', 'unknown kind; unknown interface')) v(id, problems)""")
+def review_types(spark, sf_dir, store):
+    rows = [("City", "Place", "continuant", ["Nameable"]), ("Ghost", "Nowhere", "continuant", []), ("Party", "Agent", "occurrent", None), ("Odd", None, "thing", ["Flying"])]
+    proposed = model.literal_table(spark, rows, "id string, parent_id string, kind string, interfaces array<string>")
+    return registry.review_types(proposed, store.types, ["Nameable", "Temporal", "Embeddable"]).withColumn("problems", F.array_join("problems", "; "))
+
+
+@registered("L10_evictions", "SELECT event_id AS node FROM (SELECT event_id, row_number() OVER (ORDER BY ts, user_id, event_id) AS k FROM events WHERE event_type <> 'purchase') WHERE k <= (SELECT count(*) FROM events) - (SELECT count(*) // 2 FROM events)")
+def evictions(spark, sf_dir, store):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("event_id").alias("node"), F.col("ts").alias("touched_at"), F.col("user_id").alias("degree"), (F.col("event_type") == "purchase").alias("protected"))
+    return graph.evictions(rows, e.count() // 2).select("node")
+
+
+@registered("A16_recompute_summary", sql("SELECT (SELECT count(*) FROM ent WHERE merged_into IS NULL) AS entities, (SELECT count(*) FROM edge) AS edges"))
+def recompute_summary(spark, sf_dir, store):
+    nodes = store.entities.where("merged_into IS NULL").select(F.col("id").alias("node"), F.col("type_id").alias("community"))
+    return graph.recompute_summary(nodes, graph.edges(store)).select("entities", "edges")
+
+
+@registered("I2_model_answers", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS name, event_id % 3 = 0 AS failed FROM events")
+def model_answers(spark, sf_dir, store):
+    k = F.col("event_id") % 3
+    item = F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "x": 1}'))
+    answer = F.when(k == 0, F.lit("I am sorry.")).when(k == 1, F.concat(F.lit("Sure:\n```json\n["), item, F.lit("]\n```\nDone."))).otherwise(F.concat(F.lit("Here: "), item, F.lit(" as asked")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), answer.alias("answer"))
+    out = ingest.model_answers(rows, "name: string")
+    return out.select("id", F.get("items.name", F.lit(0)).alias("name"), F.col("error").isNotNull().alias("failed"))
+
+
+@registered("I3_pipeline", "SELECT s_suppkey AS doc_id, 'name' AS predicate, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE s_name || ' x9' END AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'reconfirm' ELSE 'reject' END AS outcome FROM supplier")
+def ingest_pipeline(spark, sf_dir, store):
+    """Known names confirm what is there; a created entity is not in the store yet, so its statement waits for it."""
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit(" x9")))
+    docs = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("doc_id"), F.to_json(F.struct(name.alias("name"))).alias("raw"))
+    return ingest.run_pipeline(store, docs, "Order", "src:master", ["name"])[0].select("doc_id", "predicate", "value", "outcome")
+
+
+@registered("I6_identities", """SELECT 'u' || c_custkey AS username, CASE WHEN c_custkey % 4 <> 3 THEN 'p' || c_custkey END AS pk, CASE WHEN c_custkey % 2 = 0 THEN 'pk:' || c_custkey WHEN c_custkey % 3 = 0 THEN 'name:' || c_custkey END AS id,
+    c_custkey % 2 = 1 AND c_custkey % 3 = 0 AND c_custkey % 4 <> 3 AS backfill FROM customer""")
+def identities(spark, sf_dir, store):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    key = F.col("k").cast("string")
+    users = c.select(F.concat(F.lit("u"), key).alias("username"), F.when(F.col("k") % 4 != 3, F.concat(F.lit("p"), key)).alias("pk"))
+    by_pk = c.where("k % 2 = 0").select(F.concat(F.lit("p"), key).alias("pk"), F.concat(F.lit("pk:"), key).alias("id"))
+    by_name = c.where("k % 3 = 0").select(F.concat(F.lit("u"), key).alias("username"), F.concat(F.lit("name:"), key).alias("id"))
+    return ingest.identities(users, by_pk, by_name)
+
+
+@registered("S7_tool_log", "SELECT event_type AS tool, max(ts) AS last, count(*) FILTER (value > 50) AS slow FROM events GROUP BY 1")
+def tool_log(spark, sf_dir, store):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("tool"))
+    return rows.agg(F.max("ts").alias("last"), F.count_if(F.col("value") > 50).alias("slow"))
+
+
+@registered("F8_vocabulary", "SELECT * FROM (VALUES ('1:1', 7), ('n:m', 5)) v(cardinality, n)")
+def compact_vocabulary(spark, sf_dir, store):
+    return store.predicates.select("id", "cardinality").groupBy("cardinality").agg(F.count("*").alias("n"))

@@ -115,3 +115,43 @@ def binary_files(spark: SparkSession, path: str, most: int = MAX_FILE_BYTES) ->
         F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
         F.when(~over, F.sha2("content", 256)).alias("sha256"), F.when(~over, F.col("content")).alias("content"), F.when(over, "too large").alias("error"),
     )
+
+
+def model_answers(rows: DataFrame, schema: str, text: str = "answer") -> DataFrame:
+    """rows with what a language model answered, parsed: a code fence is taken off, the outermost braces or brackets are read as an array of
+    items, and an answer that still can't be read gives an error. Items whose required text fields are all null are malformed."""
+    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)^.*?```(?:json)?\s*|```.*$", "")
+    inner = F.regexp_extract(bare, r"(?s)(\[.*\]|\{.*\})", 1)
+    whole = F.when(inner.startswith("{"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner)
+    items = F.from_json(whole, f"array<struct<{schema}>>")
+    error = F.when((inner == "") | F.col("items").isNull(), "no JSON in the answer")
+    return rows.withColumn("items", items).withColumn("error", error)
+
+
+def identities(users: DataFrame, by_pk: DataFrame, by_name: DataFrame) -> DataFrame:
+    """Accounts (username, pk) with the entity that they are: the owner of the pk first, then of the name; backfill marks those known by name
+    whose pk is new. by_pk (pk, id), by_name (username, id)."""
+    rows = users.join(by_pk.select("pk", F.col("id").alias("_p")), "pk", "left").join(by_name.select("username", F.col("id").alias("_n")), "username", "left")
+    backfill = F.col("_p").isNull() & F.col("_n").isNotNull() & F.col("pk").isNotNull()
+    return rows.select("username", "pk", F.coalesce("_p", "_n").alias("id"), backfill.alias("backfill"))
+
+
+def run_pipeline(store, docs: DataFrame, type_id: str, source_id: str, predicates: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles (doc_id, raw) through extraction, resolution and a commit plan: the report (doc_id, predicate, value, outcome, detail),
+    the proposals for unknown fields, and the entities resolved or created (of type_id). Only string fields named in predicates are committed. A candidate that fails is a row of the report."""
+    from chronofact.model import STATEMENT
+    from chronofact.operators import resolve, write
+
+    candidates, proposals = extract_profile(docs)
+    candidates = candidates.where(F.col("predicate").isin(predicates))
+    wanted = candidates.where("predicate = 'name'").select(F.col("doc_id").alias("ref"), F.lit(type_id).alias("type_id"), F.col("value").alias("label"), F.col("value").alias("key"))
+    owners = resolve.get_or_create(store, wanted)
+    rows = candidates.join(owners.select(F.col("ref").alias("doc_id"), F.col("id").alias("subject_id")), "doc_id")
+    none = {c: F.lit(None).cast(t) for c, t in STATEMENT.items()}
+    rows = rows.select(
+        F.xxhash64("doc_id", "predicate", "value").alias("ord"), "doc_id", "predicate", "value", "subject_id", F.col("predicate").alias("predicate_id"), F.lit("string").alias("value_type"),
+        F.col("value").alias("value_text"), F.lit("normal").alias("rank"), "confidence", none["object_id"].alias("object_id"), none["value_number"].alias("value_number"),
+        none["value_unit"].alias("value_unit"), none["value_datetime"].alias("value_datetime"), none["valid_from"].alias("valid_from"), none["valid_to"].alias("valid_to"), F.lit(source_id).alias("source_id"),
+    )
+    report = rows.select("ord", "doc_id", "predicate", "value").join(write.plan_commit(store, rows.drop("doc_id", "predicate", "value")), "ord").drop("ord")
+    return report, proposals, owners
