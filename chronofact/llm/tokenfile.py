@@ -226,5 +226,3 @@ def round_trip(docs: DataFrame, vocabulary: str, folder: str | None = None) -> D
     never cut ones.
     """
     return read(write(docs, vocabulary, folder))
-
-

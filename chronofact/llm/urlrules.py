@@ -33,7 +33,8 @@ PATTERNS = [
     ("casino", "block", r"(^|[./_-])casino([./_-]|$)", ["casino"]),
     ("porn", "block", r"(^|[./_-])porn([./_-]|$)", ["porn"]),
     ("adult-content", "block", r"(^|[./_-])adult[._-]content([./_-]|$)", ["adult", "content"]),
-    ("ad-server", "block", r"^([^/]*\.)?ads?\.[^/]+/(banner|click)", []),
+    ("ad-server", "block", r"^([^/]*\.)?ad\.[^/]+/(banner|click)", ["ad"]),
+    ("ads-server", "block", r"^([^/]*\.)?ads\.[^/]+/(banner|click)", ["ads"]),
     ("tracker-pixel", "block", r"/tracker/pixel", ["tracker"]),
     ("login-page", "block", r"/login([/.]|$)", ["login"]),
     ("cart-page", "block", r"/cart([/.]|$)", ["cart"]),
@@ -94,7 +95,8 @@ def rule_index(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule with the token it is indexed by: the rarest of its tokens in the column tokens of targets, the least of
     equally rare ones; null for a rule without tokens, which every URL has to try."""
     own = rules.select(F.explode("tokens").alias("token")).distinct()
-    counts = targets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    few = F.broadcast(own) if rules.count() <= BROADCAST_RULES else own
+    counts = targets.select(F.explode("tokens").alias("token")).join(few, "token").groupBy("token").agg(F.count("*").alias("n"))
     counts = own.join(counts, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
     each = rules.select("kind", "name", "verdict", "expression", F.explode_outer("tokens").alias("token"))
     each = each.join(counts, "token", "left").groupBy("kind", "name", "verdict", "expression")
