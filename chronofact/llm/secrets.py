@@ -58,14 +58,14 @@ def entropy_spans(s: str, limit: float, window: int = WINDOW) -> list[tuple[int,
     counts: dict[str, int] = {}
     total, out, least = 0.0, [], math.log2(window) - limit
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += _PART[n + 1] - _PART[n]
-        counts[c] = n + 1
-        if i >= window:
+        if i >= window:  # out before in: no count exceeds the window
             old = s[i - window]
             n = counts[old]
             total += _PART[n - 1] - _PART[n]
             counts[old] = n - 1
+        n = counts.get(c, 0)
+        total += _PART[n + 1] - _PART[n]
+        counts[c] = n + 1
         if i >= window - 1 and total / window <= least + 1e-12:
             if out and out[-1][1] >= i + 1 - window:
                 out[-1] = (out[-1][0], i + 1)

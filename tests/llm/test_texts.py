@@ -85,6 +85,7 @@ def test_entropy_and_allow_list():
     assert kinds("key is q7Rt9ZpLw2XvB8nM4kYc1HsD") == ["entropy"]
     assert kinds("id 123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789") == []
     assert kinds("see /usr/local/share/words/part/2024/file and internationalization_of_things_v2") == []
+    assert kinds("x1" + "a" * 60) == []  # one character fills the window
     assert kinds("an ordinary sentence with antidisestablishmentarianism in it") == []
 
 
