@@ -92,7 +92,7 @@ def test_entropy_and_allow_list():
 def test_scan(spark):
     docs = documents(spark, [*TEXTS, (20, 'x api_key="abcdef123" y'), (21, "é password: hunter22 é")])
     got = {r.doc_id: r for r in secrets.scan(docs, redact=True).collect()}
-    assert got[20].spans == "assign:2:21" and got[20].redacted == 'x [SECRET]" y'
+    assert got[20].spans == "assign:2:20" and got[20].redacted == 'x [SECRET]" y'
     assert got[21].redacted == "é [SECRET] é" and got[21].n_assign == 1
     assert got[4].spans == "" and got[4].redacted is None and got[3].redacted == "" and secrets.scan(docs).count() == docs.count()
     assert secrets.scan(documents(spark, [])).count() == 0
