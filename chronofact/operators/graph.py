@@ -161,9 +161,18 @@ def similar(store: Store, entity: str, predicates: list[str] | None = None, dire
     return rows.select(F.col("node").alias("id"), "overlap", (F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap"))).alias("score"))
 
 
-def pagerank(e: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+#: Summed rank change of a plain round at which PageRank has converged; the ranks are then within 1 / (1 - damping) times as much.
+TOLERANCE = 1e-8
+
+
+def pagerank(e: DataFrame, nodes: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """node, pagerank over the undirected multigraph: an edge counts both ways and as often as it is there; a node without edges
-    gives its rank to all. nodes: a column node."""
+    gives its rank to all. nodes: a column node. Converged: a plain round would change the ranks by `tolerance` at most, summed; given
+    `rounds`, as many plain rounds from equal ranks instead.
+
+    What nodes without edges give is known in advance, as all of them have the same rank. The rest is a linear system whose eigenvalues
+    are real on an undirected graph, so Chebyshev's semi-iteration solves it (Golub and Varga 1961): a round costs what a plain one does,
+    and the error falls by 0.56 a round, not by 0.85."""
     spark = e.sparkSession
     ends = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src"))
     links = ends.groupBy("a", "b").agg(F.count("*").alias("k"))
@@ -171,6 +180,8 @@ def pagerank(e: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float =
     links = stored(spark, links.join(out, "a").select("a", "b", (F.col("k") / F.col("d")).alias("w")), "links")
     base = stored(spark, nodes.join(out.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("d").isNull().alias("dangling")), "nodes")
     n = base.count()
+    if rounds is None:
+        return _settled_ranks(links, base, n, damping, tolerance)
     ranks = base.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("r"))
     for _ in range(rounds):
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
@@ -181,6 +192,25 @@ def pagerank(e: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float =
     return ranks.select("node", F.col("r").alias("pagerank"))
 
 
+def _settled_ranks(links: DataFrame, base: DataFrame, n: int, damping: float, tolerance: float) -> DataFrame:
+    spark = base.sparkSession
+    alone = base.where("dangling").count()
+    least = (1 - damping) / max(n - damping * alone, 1e-300)  # the rank of a node without edges, and what each node gets from all
+    ranks = base.where("NOT dangling").select("node", F.lit(1.0 / max(n, 1)).alias("r"), F.lit(0.0).alias("before"))
+    weight = 1.0
+    while True:
+        got = links.join(ranks.select(F.col("node").alias("a"), "r"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("r") * F.col("w")).alias("got"))
+        plain = F.lit(least) + damping * F.coalesce("got", F.lit(0.0))
+        step = ranks.join(got, "node", "left").select("node", "r", "before", plain.alias("plain"))
+        fresh = stored(spark, step.select("node", (weight * (F.col("plain") - F.col("before")) + F.col("before")).alias("next"), "r", "plain"), "ranks")
+        change = fresh.agg(F.sum(F.abs(F.col("plain") - F.col("r")))).first()[0] or 0.0
+        if change <= tolerance:
+            found = fresh.select("node", F.col("plain").alias("pagerank"))
+            return found.unionByName(base.where("dangling").select("node", F.lit(least).alias("pagerank")))
+        ranks = fresh.select("node", F.col("next").alias("r"), F.col("r").alias("before"))
+        weight = 1 / (1 - damping**2 / (2 if weight == 1.0 else 4) * weight)
+
+
 def betweenness(e: DataFrame, sources: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
     """node, betweenness (undirected, not normalised; Brandes 2001): searches from all sources go on side by side, a level of all of
     them in one join, and dependencies flow back the same way. Work is sources times nodes: exact with all nodes as sources (None),
@@ -217,22 +247,24 @@ def betweenness(e: DataFrame, sources: DataFrame | None = None, max_depth: int =
     return total.groupBy("node").agg((F.sum("share") / 2).alias("betweenness"))
 
 
-def communities(e: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community by label propagation (Raghavan 2007) on the simple graph: all nodes at once take the commonest label among
-    their neighbours and themselves, the least of equals. Ends when nothing changes or after `rounds`."""
+def communities(e: DataFrame) -> DataFrame:
+    """node, community, settled by label propagation (Raghavan 2007) on the simple graph: all nodes at once take the commonest label among
+    their neighbours and themselves, the least of equals. Ends when nothing changes, or when the labels are those of two rounds ago: votes
+    are symmetric, so no longer cycle exists (Poljak and Sura 1983) and one of the two comes. Nodes that then go back and forth between
+    two labels have settled = false and the lesser of them."""
     spark = e.sparkSession
     pairs = stored(spark, both_ways(e).where("a <> b"), "pairs")
-    labels = pairs.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    labels = pairs.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community"), F.col("node").alias("before"))
+    while True:
         votes = pairs.join(labels.select(F.col("node").alias("b"), "community"), "b").select(F.col("a").alias("node"), "community").unionByName(labels.select("node", "community"))
         votes = votes.groupBy("node", "community").agg(F.count("*").alias("n"))
         fresh = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
-        fresh = stored(spark, fresh, "labels")
-        moved = fresh.join(labels.withColumnRenamed("community", "old"), "node").where("community <> old").limit(1).count()
-        labels = fresh
-        if not moved:
-            break
-    return labels
+        step = fresh.join(labels.select("node", F.col("community").alias("last"), "before"), "node")
+        fresh = stored(spark, step, "labels")
+        moved = fresh.agg(F.count_if(F.col("community") != F.col("last")), F.count_if(F.col("community") != F.col("before")))
+        if 0 in tuple(moved.first()):
+            return fresh.select("node", F.least("community", "last").alias("community"), (F.col("community") == F.col("last")).alias("settled"))
+        labels = fresh.select("node", "community", F.col("last").alias("before"))
 
 
 def clusters(e: DataFrame, min_size: int = 2, member_limit: int = 50) -> DataFrame:
@@ -246,22 +278,35 @@ def clusters(e: DataFrame, min_size: int = 2, member_limit: int = 50) -> DataFra
     return sizes.where(F.col("size") >= min_size).join(members, "community").crossJoin(F.broadcast(total)).drop("first")  # one row
 
 
-def metrics(store: Store, old: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """The graph metrics of all entities that aren't merged away: community, pagerank, community_rank, degree, and the x, y that an
-    earlier run had."""
+def metrics(store: Store, old: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """The graph metrics of all entities that aren't merged away: community, settled (see communities), pagerank (converged, unless
+    rounds are given), community_rank, degree, and the x, y that an earlier run had."""
     spark = store.statements.sparkSession
     e = stored(spark, edges(store), "edges")
     nodes = store.entities.where("merged_into IS NULL").select(F.col("id").alias("node"))
     out = nodes.join(pagerank(e, nodes, rounds), "node").join(communities(e), "node", "left")
     out = out.join(degrees(e, 2).withColumnRenamed("id", "node"), "node", "left")
-    out = out.withColumn("community", F.coalesce("community", "node")).withColumn("degree", F.coalesce("degree", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("pagerank"), "node"))
-    out = out.withColumn("community_rank", rank)
+    out = out.withColumn("community", F.coalesce("community", "node")).withColumn("settled", F.coalesce("settled", F.lit(True))).withColumn("degree", F.coalesce("degree", F.lit(0)))
+    out = community_ranks(out)
     if old is None:
         return out.withColumn("x", F.lit(None).cast("double")).withColumn("y", F.lit(None).cast("double"))
     return out.join(old.select("node", "x", "y"), "node", "left")
 
 
+def community_ranks(scored: DataFrame) -> DataFrame:
+    """scored (node, community, pagerank, ...) with community_rank, the place in the community by pagerank, then node. Rows are cut into
+    ranges of (community, -pagerank, node) and numbered within them, so one large community spreads over many tasks."""
+    spark = scored.sparkSession
+    ranges = scored.withColumn("_down", -F.col("pagerank")).repartitionByRange("community", "_down", "node")
+    cut = stored(spark, ranges.withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_part", "community")
+    sizes = cut.groupBy("_part", "community").agg(F.count("*").alias("_size"))
+    ahead = F.sum("_size").over(Window.partitionBy("community").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", "community", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    out = cut.withColumn("_place", F.row_number().over(own.orderBy("_down", "node"))).join(offsets, ["_part", "community"])
+    return out.withColumn("community_rank", (F.col("_ahead") + F.col("_place")).cast("int")).drop("_part", "_down", "_ahead", "_place")
+
+
 def skeleton(measured: DataFrame, budget: int = 300, per_community: int = 3, hubs: int = 50) -> DataFrame:
     """The nodes to draw: the best few of each community, and the best of all, cut to the budget by pagerank."""
     few = measured.where(F.col("community_rank") <= per_community).orderBy("community_rank", F.desc("pagerank"), "node").limit(budget)

@@ -455,12 +455,12 @@ def clusters(spark, sf_dir, store):
 
 @registered("G10_metrics")
 def metrics(spark, sf_dir, store):
-    return graph.metrics(store, rounds=3)
+    return graph.metrics(store)
 
 
 @registered("G11_skeleton")
 def skeleton(spark, sf_dir, store):
-    return graph.skeleton(stored(spark, graph.metrics(store, rounds=3), "metrics"))
+    return graph.skeleton(stored(spark, graph.metrics(store), "metrics"))
 
 
 @registered("G12_snapshot", sql("""SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT id FROM top) AND e.dst IN (SELECT id FROM top)""",
