@@ -86,8 +86,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def covered(own: tuple[int, int], base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans (sorted), taken together, leave no character of own."""
+    at = own[0]
+    for a, _, b in base:
+        if a <= at < b:
+            at = b
+    return at >= own[1]
+
+
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those that the entropy scan adds: (start, kind number, end), each sorted."""
+    """Base spans, and those that the entropy scan adds: (start, kind number, end), each sorted. An entropy span is left out only if base
+    spans cover all of it; one that reaches beyond them is reported whole, so the two may overlap."""
     if not text:
         return [], []
     base, more = base_spans(text), []
@@ -98,7 +108,7 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             continue
         for a, b in entropy_spans(s, LIMITS[kind]):
             own = (m.start() + a, m.start() + b)
-            if not any(x[0] < own[1] and own[0] < x[2] for x in base):
+            if not covered(own, base):
                 more.append((own[0], 3, own[1]))
     return base, more
 
