@@ -211,7 +211,7 @@ def _settled_ranks(links: DataFrame, base: DataFrame, n: int, damping: float, to
         weight = 1 / (1 - damping**2 / (2 if weight == 1.0 else 4) * weight)
 
 
-def betweenness(e: DataFrame, sources: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
+def betweenness(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """node, betweenness (undirected, not normalised; Brandes 2001): searches from all sources go on side by side, a level of all of
     them in one join, and dependencies flow back the same way. Work is sources times nodes: exact with all nodes as sources (None),
     for large graphs an estimate from a sample of nodes (column node), to be scaled by its share."""
@@ -221,7 +221,7 @@ def betweenness(e: DataFrame, sources: DataFrame | None = None, max_depth: int =
     level = stored(spark, sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")
     seen = level.select("s", "node")
     found = [level]
-    while len(found) <= max_depth:
+    while True:
         step = pairs.join(level.withColumnRenamed("node", "a"), "a").groupBy("s", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
         level = stored(spark, step.join(seen, ["s", "node"], "left_anti"), "level")
         if not level.limit(1).count():

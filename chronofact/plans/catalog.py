@@ -442,15 +442,13 @@ def pagerank(spark, sf_dir, store):
 
 @registered("G8_betweenness")
 def betweenness(spark, sf_dir, store):
-    """Of the places, suppliers and customers: exact on the part of the graph that `located_in` and `part_of` span, from suppliers."""
-    e = graph.edges(store, ["located_in", "part_of"])
-    pivots = store.entities.where("type_id = 'Supplier'").select(F.col("id").alias("node"))
-    return graph.betweenness(e, pivots)
+    """Exact, of all nodes over all edges: searches from every node, so the work is nodes times edges."""
+    return graph.betweenness(graph.edges(store))
 
 
 @registered("G9_clusters")
 def clusters(spark, sf_dir, store):
-    return graph.clusters(graph.edges(store, ["located_in", "part_of"]))
+    return graph.clusters(stored(spark, graph.edges(store), "edges"))
 
 
 @registered("G10_metrics")

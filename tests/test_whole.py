@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronofact import model
 from chronofact.llm import secrets
 from chronofact.operators import graph
+from chronofact.plans import catalog
 
 
 def edge_rows(spark, pairs):
@@ -69,3 +71,61 @@ def test_secret_beside_a_known_one(text, base, more):
     found = secrets.spans(text)
     assert found[0] == base and (more is None or found[1] == more)
     assert secrets.redacted(text, found[0] + found[1]) == "[SECRET]"
+
+
+EDGES = [
+    ("customer:1", "located_in", "nation:0"), ("customer:2", "located_in", "nation:0"), ("supplier:1", "located_in", "nation:1"), ("nation:0", "part_of", "region:0"), ("nation:1", "part_of", "region:0"),
+    ("order:1", "placed_by", "customer:1"), ("order:2", "placed_by", "customer:2"), ("order:1", "contains", "part:1"), ("order:2", "contains", "part:1"), ("order:2", "contains", "part:2"), ("order:2", "supplied_by", "supplier:1"),
+]
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    """A store of entity statements, and entities with labels."""
+    said = spark.createDataFrame(EDGES, "subject_id string, predicate_id string, object_id string")
+    given = {"id": F.concat_ws("|", "predicate_id", "subject_id", "object_id"), "value_type": F.lit("entity"), "rank": F.lit("normal"), "confidence": F.lit(1.0), "origin": F.lit("asserted")}
+    said = said.select(*[given.get(c, F.col(c) if c in said.columns else F.lit(None)).cast(t).alias(c) for c, t in model.STATEMENT.items()])
+    ids = sorted({x for s, _, o in EDGES for x in (s, o)})
+    entities = spark.createDataFrame([(x, x.split(":")[0].title(), x.replace(":", " house "), None) for x in ids], "id string, type_id string, label string, merged_into string")
+    types, implements, predicates = model.vocabulary(spark)
+    return model.Store(entities, said, None, None, None, types, implements, predicates)
+
+
+def brute_betweenness(pairs):
+    """By the definition: the share of shortest paths between each two others that run through a node."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    far, ways = {}, {}
+    for s in near:
+        far[s], ways[s], front = {s: 0}, {s: 1}, [s]
+        while front:
+            fresh = []
+            for x in front:
+                for y in near[x]:
+                    if y not in far[s]:
+                        far[s][y], ways[s][y] = far[s][x] + 1, 0
+                        fresh.append(y)
+                    if far[s][y] == far[s][x] + 1:
+                        ways[s][y] += ways[s][x]
+            front = fresh
+    return {v: sum(ways[s][v] * ways[v][t] / ways[s][t] for s in near for t in far[s] if s < t and v not in (s, t) and v in far[s] and far[s][v] + far[v][t] == far[s][t]) for v in near}
+
+
+def test_betweenness_of_all(spark, whole):
+    got = {r.node: r.betweenness for r in catalog.betweenness(spark, "", whole).collect()}
+    assert got == pytest.approx(brute_betweenness([(s, o) for s, _, o in EDGES]))
+
+
+def test_betweenness_of_long_paths(spark):
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(53)]
+    got = {r.node: r.betweenness for r in graph.betweenness(edge_rows(spark, pairs), spark.createDataFrame([("n00",)], "node string")).collect()}
+    assert got["n01"] == 26 and got["n52"] == 0.5 and got["n53"] == 0
+
+
+def test_clusters_of_all(spark, whole):
+    got = {x for r in catalog.clusters(spark, "", whole).collect() for x in r.members}
+    labels = brute_labels([(s, o) for s, _, o in EDGES])
+    sizes = [c for c, _ in labels.values()]
+    assert got == {x for x, (c, _) in labels.items() if sizes.count(c) >= 2} and any(x.startswith("part:") for x in got)
