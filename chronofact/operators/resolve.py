@@ -91,24 +91,68 @@ def semantic_search(store: Store, query: str, type_id: str | None = None, limit:
     return near.unionByName(like.withColumn("similarity", F.lit(None).cast("double"))).join(own.select("id", "label", "type_id"), "id")
 
 
-def resolve(store: Store, rows: DataFrame, identifying: str = "name", least: float = CANDIDATE) -> DataFrame:
-    """Resolve a batch (ref, type_id, label, key) at once: ref, id, method, similarity. The owner of an identifying value comes first,
-    then an entity of the type or below with the same label in any case, then the nearest vector of `least` or more."""
+def _by_stage(store: Store, rows: DataFrame, identifying: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """ref, id, stage, similarity by identifier or label, and by vector for refs without those; and the typed live labels."""
     now = store.statements.where(filters.visible() & (F.col("predicate_id") == identifying))
-    owner = now.groupBy(F.col("value_text").alias("key")).agg(F.min("subject_id").alias("id"))
-    live = store.entities.where("merged_into IS NULL AND label IS NOT NULL")
+    alive = store.entities.where("merged_into IS NULL")
+    owner = now.join(alive.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").groupBy(F.col("value_text").alias("key")).agg(F.min("subject_id").alias("id"))
+    live = alive.where("label IS NOT NULL")
     typed = live.join(registry.closure(store.types), "type_id").select("id", "label", F.col("ancestor_id").alias("type_id"))
     by_key = rows.join(owner, "key").select("ref", "id", F.lit(1).alias("stage"), F.lit(1.0).alias("similarity"))
     low = F.lower("label")
     same = rows.select("ref", "type_id", low.alias("low")).join(typed.select("type_id", "id", low.alias("low")), ["type_id", "low"])
-    same = same.select("ref", "id", F.lit(2).alias("stage"), F.lit(1.0).alias("similarity"))
-    wanted = rows.join(by_key.unionByName(same).select("ref"), "ref", "left_anti")
+    exact = by_key.unionByName(same.select("ref", "id", F.lit(2).alias("stage"), F.lit(1.0).alias("similarity")))
+    return exact, _by_vector(rows.join(exact.select("ref"), "ref", "left_anti"), live, typed, least), typed
+
+
+def _by_vector(wanted: DataFrame, live: DataFrame, typed: DataFrame, least: float) -> DataFrame:
     near = cosine(embed(wanted.withColumnRenamed("ref", "query"), "query", "label"), embed(live, "id", "label"), least).withColumnRenamed("query", "ref")
     near = near.join(wanted.select("ref", "type_id"), "ref").join(typed.select("id", "type_id"), ["id", "type_id"], "left_semi")
-    found = by_key.unionByName(same).unionByName(near.select("ref", "id", F.lit(3).alias("stage"), "similarity"))
-    best = found.groupBy("ref").agg(F.min(F.struct("stage", (-F.col("similarity")).alias("d"), "id")).alias("b"))
-    method = F.when(F.col("b.stage") == 1, "identifier").when(F.col("b.stage") == 2, "label").when(F.col("b.stage") == 3, "vector").otherwise("new")
-    return rows.select("ref").join(best, "ref", "left").select("ref", F.col("b.id").alias("id"), method.alias("method"), (-F.col("b.d")).alias("similarity"))
+    return near.select("ref", "id", F.lit(3).alias("stage"), "similarity")
+
+
+def _method(stage: Column) -> Column:
+    return F.when(stage == 1, "identifier").when(stage == 2, "label").when(stage == 3, "vector").when(stage == 4, "substring").otherwise("new")
+
+
+def containing(rows: DataFrame, typed: DataFrame) -> DataFrame:
+    """ref, id where a label of typed (id, label, type_id) contains that of the row (ref, type_id, label) in any case. The rarest piece of
+    three characters (of all, in shorter labels) finds those to compare."""
+    pieces = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))))
+    asked = rows.where("length(label) > 0").select("ref", "type_id", F.lower("label").alias("part"))
+    part = F.col("part")
+    wanted = asked.withColumn("piece", F.explode(F.coalesce(pieces(part, 3), F.array(part))))
+    low = F.col("low")
+    stock = typed.select("id", F.lower("label").alias("low")).distinct()
+    none = F.array().cast("array<string>")
+    held = stock.withColumn("piece", F.explode(F.concat(*[F.coalesce(pieces(low, n), none) for n in (1, 2, 3)])))
+    held = held.join(wanted.select("piece").distinct(), "piece", "left_semi")
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "piece", "left").groupBy("ref", "type_id", "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("p"))
+    found = rarest.select("ref", "type_id", "part", F.col("p.piece").alias("piece")).join(held, "piece").where(F.contains("low", "part"))
+    return found.join(typed.select("id", "type_id"), ["id", "type_id"], "left_semi").select("ref", "id")
+
+
+def candidates(store: Store, rows: DataFrame, identifying: str = "name", least: float = CANDIDATE) -> DataFrame:
+    """All candidates of a batch (ref, type_id, label, key): ref, id, method, similarity. A ref with a match by identifier has only that. Others
+    have all entities of the type or below with the same label in any case, those with vectors of `least` or more, and those whose
+    label contains theirs (similarity null: no reason to merge), each by its first stage. A ref without any is `new`, with a null id."""
+    exact, _, typed = _by_stage(store, rows, identifying, least)
+    open_rows = rows.join(exact.where("stage = 1").select("ref"), "ref", "left_anti")
+    live = store.entities.where("merged_into IS NULL AND label IS NOT NULL")
+    like = containing(open_rows, typed).select("ref", "id", F.lit(4).alias("stage"), F.lit(None).cast("double").alias("similarity"))
+    later = exact.where("stage = 2").unionByName(_by_vector(open_rows, live, typed, least)).unionByName(like).join(open_rows.select("ref"), "ref", "left_semi")
+    found = exact.where("stage = 1").unionByName(later)
+    first = found.groupBy("ref", "id").agg(F.min(F.struct("stage", "similarity")).alias("b"))
+    return rows.select("ref").join(first, "ref", "left").select("ref", "id", _method(F.col("b.stage")).alias("method"), F.col("b.similarity").alias("similarity"))
+
+
+def resolve(store: Store, rows: DataFrame, identifying: str = "name", least: float = CANDIDATE) -> DataFrame:
+    """The match of each row of a batch (ref, type_id, label, key): ref, id, method, similarity. The owner of an identifying value comes first,
+    then an entity of the type or below with the same label in any case, then the nearest vector of `least` or more."""
+    exact, near, _ = _by_stage(store, rows, identifying, least)
+    best = exact.unionByName(near).groupBy("ref").agg(F.min(F.struct("stage", (-F.col("similarity")).alias("d"), "id")).alias("b"))
+    return rows.select("ref").join(best, "ref", "left").select("ref", F.col("b.id").alias("id"), _method(F.col("b.stage")).alias("method"), (-F.col("b.d")).alias("similarity"))
 
 
 def get_or_create(store: Store, rows: DataFrame) -> DataFrame:

@@ -515,8 +515,11 @@ def semantic_search(spark, sf_dir, store):
 
 @registered("R5_resolve")
 def resolve_batch(spark, sf_dir, store):
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ref"), F.lit("Agent").alias("type_id"), F.lower("s_name").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("key"))
-    return resolve.resolve(store, rows)
+    """All candidates for suppliers: by key, by label, by a label with a letter too many, and by the last characters of one."""
+    k = F.col("s_suppkey") % 4
+    label = F.when(k == 1, F.lower("s_name")).when(k == 2, F.concat("s_name", F.lit("x"))).when(k == 3, F.substr(F.col("s_name"), F.lit(-6))).otherwise(F.lower("s_name"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ref"), F.lit("Agent").alias("type_id"), label.alias("label"), F.when(k == 0, F.col("s_name")).alias("key"))
+    return resolve.candidates(store, rows)
 
 
 @registered("R6_get_or_create", """SELECT s_suppkey AS ref, s_suppkey % 2 = 1 AS created FROM supplier""")

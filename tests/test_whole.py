@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronofact import model
 from chronofact.llm import secrets
-from chronofact.operators import graph
+from chronofact.operators import graph, resolve
 from chronofact.plans import catalog
 
 
@@ -129,3 +129,17 @@ def test_clusters_of_all(spark, whole):
     labels = brute_labels([(s, o) for s, _, o in EDGES])
     sizes = [c for c, _ in labels.values()]
     assert got == {x for x, (c, _) in labels.items() if sizes.count(c) >= 2} and any(x.startswith("part:") for x in got)
+
+
+def test_candidates_of_all_stages(spark, whole):
+    rows = spark.createDataFrame([(1, "Agent", "HOUSE 1", None), (2, "Agent", "customer house 1", None), (3, "Agent", "2", None), (4, "Agent", "unheard", None), (5, "Part", "house", None)], "ref long, type_id string, label string, key string")
+    got = {(r.ref, r.id): (r.method, r.similarity is None) for r in resolve.candidates(whole, rows, least=0.95).collect()}
+    agents = {x for x in ("customer:1", "customer:2", "supplier:1")}
+    assert {i for r, i in got if r == 1} == agents - {"customer:2"} and got[1, "customer:1"] == ("substring", True)
+    assert got[2, "customer:1"] == ("label", False) and got[3, "customer:2"] == ("substring", True)
+    assert got[4, None] == ("new", True) and {i for r, i in got if r == 5} == {"part:1", "part:2"}
+    gone = whole.entities.select("id", "type_id", "label", F.when(F.col("id") == "customer:1", "customer:2").alias("merged_into"))
+    named = whole.statements.limit(1).select(*[{"subject_id": F.lit("customer:1"), "predicate_id": F.lit("name"), "value_text": F.lit("Own")}.get(c, F.col(c)).alias(c) for c in whole.statements.columns])
+    store = model.Store(gone, named, None, None, None, whole.types, whole.implements, whole.predicates)
+    asked = spark.createDataFrame([(1, "Agent", "nothing alike", "Own")], "ref long, type_id string, label string, key string")
+    assert resolve.resolve(store, asked).first().method == "new"
