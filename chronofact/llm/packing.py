@@ -37,29 +37,29 @@ def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + i * size, size) for i in range(k - 1)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END) -> DataFrame:
-    """part, doc_id, piece, start, length, rank (among those of its part and length), ids_crc32, ids; stored."""
+def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END, with_ids: bool = True) -> DataFrame:
+    """part, doc_id, piece, start, length, rank (among those of its part and length), ids_crc32, and ids if asked for; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, end = TaskContext.get().partitionId(), tokens.encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        part, enc, end = TaskContext.get().partitionId(), tokens.encoder(vocabulary), np.array([end_id], np.uint32)
         seen = np.zeros(size + 1, np.int64)
         out: list[tuple] = []
         held = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(text.as_py()) + end
-                for i, (start, length) in enumerate(cut(len(ids) // 4, size)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    out.append((part, doc_id, i, start, length, int(seen[length]), zlib.crc32(own), own))
+            for doc_id, found in zip(b.column(0).to_pylist(), enc.each(b.column(1)), strict=True):
+                ids = np.append(found, end)
+                for i, (start, length) in enumerate(cut(len(ids), size)):
+                    own = ids[start : start + length].astype("<u4").tobytes()
+                    out.append((part, doc_id, i, start, length, int(seen[length]), zlib.crc32(own), *[own] * with_ids))
                     seen[length] += 1
                     held += length
-                if held > 1 << 20:
-                    yield _batch(out)
-                    out, held = [], 0
+                    if held > 1 << 19:
+                        yield _batch(out)
+                        out, held = [], 0
         if out:
             yield _batch(out)
 
-    kinds = "part long, doc_id long, piece int, start long, length long, rank long, ids_crc32 long, ids binary"
+    kinds = "part long, doc_id long, piece int, start long, length long, rank long, ids_crc32 long" + ", ids binary" * with_ids
     rows = named(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return stored(docs.sparkSession, rows.mapInArrow(run, kinds), "pieces")
 
@@ -67,7 +67,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     names = ["part", "doc_id", "piece", "start", "length", "rank", "ids_crc32", "ids"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    n = len(rows[0])
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[:n], strict=True)], names=names[:n])
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:
@@ -149,7 +150,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END,
     none, are documents of their own. Full pieces fill a sequence each. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = pieces(docs, vocabulary, size, end_id)
+    rows = pieces(docs, vocabulary, size, end_id, with_ids)
     hist = stored(spark, rows.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(size + 1, np.int64)
     for r in hist.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length

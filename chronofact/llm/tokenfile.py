@@ -161,20 +161,20 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), 0
-        enc, end = tokens.encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        enc, end = tokens.encoder(vocabulary), np.array([end_id], np.uint32)
+        held: list[tuple[int | None, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
-            data = pack(np.frombuffer(b"".join(x for _, x in held), "<u4"), [d for d, _ in held], np.cumsum(lengths) - lengths)
+            lengths = np.array([len(x) for _, x in held], np.int64)
+            data = pack(np.concatenate([x for _, x in held]), [d for d, _ in held], np.cumsum(lengths) - lengths)
             path = put(folder, f"part-{part:06d}-{shard:05d}.pfor", data)
             return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "path": path, "n_docs": len(held), "n_tokens": int(lengths.sum())}])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                held.append((doc_id.as_py(), enc.encode(text.as_py()) + end))
-                size += len(held[-1][1]) // 4
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.each(b.column(1)), strict=True):
+                held.append((doc_id, np.append(ids, end)))
+                size += len(held[-1][1])
                 if size >= shard_ids:
                     yield close()
                     held, size, shard = [], 0, shard + 1

@@ -12,23 +12,33 @@ from tests.llm.helpers import LONG, documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
-ENCODER = tokens.Encoder(PATH, most=50)
-WORDS = st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", "don't", ",", ".", "...", "ü", "日本", "12", "x1", "\u00a0", "\x1c", "\0", "!?", "²"]), max_size=30).map("".join)
+ENCODER = tokens.Encoder(PATH, memory=20_000)
+WORDS = st.lists(st.sampled_from(["a", "The", " ", "  ", "\n", "\n\n", "\t", "don't", ",", ".", "...", "ü", "日本", "12", "x1", "\u00a0", "\x1c", "\0", "!?", "²", "<|endoftext|>", "ab.%%", "ab's", "ab!'"]), max_size=30).map("".join)
 
 
-@settings(max_examples=400)
+@settings(max_examples=400, deadline=None)
 @given(st.one_of(WORDS, st.text(max_size=40)))
 def test_encoder_equals_the_library(text):
     text = text.encode("utf-8", "ignore").decode()
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-def test_special_strings_are_text():
-    assert 50256 not in np.frombuffer(ENCODER.encode("a <|endoftext|> b"), "<u4").tolist()
+@settings(max_examples=100, deadline=None)
+@given(st.lists(WORDS | st.none(), max_size=12))
+def test_many_texts_at_once(texts):
+    import pyarrow as pa
 
+    got = [x.tolist() for x in ENCODER.each(pa.array(texts, pa.string()))]
+    assert got == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts]
 
-@settings(max_examples=100)
+
+def test_special_strings():
+    """A special token's string is that token, as the library has it, or ordinary text if asked for."""
+    assert 50256 in np.frombuffer(ENCODER.encode("a <|endoftext|> b"), "<u4").tolist()
+    assert 50256 not in np.frombuffer(tokens.Encoder(PATH, special_as_text=True).encode("a <|endoftext|> b"), "<u4").tolist()
+
+
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 50_000), max_size=300), max_size=6))
 def test_shard_round_trip(docs):
     lengths = np.array([len(d) for d in docs], np.int64)
