@@ -14,6 +14,7 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -25,6 +26,8 @@ from chronofact.llm.urlrules import host
 from chronofact.session import new_folder, stored
 
 LEAST = 100
+#: Digests of repeated payloads that are broadcast at most (80 bytes each).
+BROADCAST_DIGESTS = 200_000
 #: Date of the capture of page 0; each page is captured a second after the one before.
 EPOCH = 1_704_067_200
 INDEX = "url_key string, timestamp string, page_id long, path string, at long, size long, record_type string"
@@ -42,15 +45,18 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of 100 bytes or more, the row with the smallest page_id (null ids last), then url, is the response;
     of rows equal in both, one is. The smallest is found by an aggregate, so that a payload which many pages share is met
-    by one small row from each task, and joined back.
+    by one small row from each task. The digests that repeat are broadcast where a count says that they are few, so that
+    payloads stay where they were read; beyond, rows and digests are joined by a shuffle.
     """
+    spark = pages.sparkSession
     rows = named(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("_row", F.monotonically_increasing_id())
     rank = F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"), F.col("_row").alias("r"))
     first = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min(rank).alias("f"), F.count("*").alias("k")).where("k > 1")
-    out = rows.join(first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.r").alias("first_row")), "digest", "left")
+    first = stored(spark, first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.r").alias("first_row")), "warc-repeated")
+    out = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left")
     revisit = (F.octet_length("payload") >= LEAST) & (F.col("_row") != F.col("first_row"))
     return out.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id"))).drop("first_id", "first_row", "_row")
 
@@ -92,7 +98,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write pages as archives; returns the lines of the index, a sorted run for each archive (column path)."""
+    """Write pages as archives; returns the lines of the index, a sorted run for each archive (column path).
+
+    A task writes its rows in order of page_id, url, digest and kind, so an attempt that is repeated writes the same bytes under
+    the same name, and the places that another attempt gave still hold.
+    """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
 
@@ -117,7 +127,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         else:
             store.delete_file(tmp)
 
-    rows = mark_revisits(pages).withColumn("url_key", url_key(F.col("url")))
+    rows = mark_revisits(pages).withColumn("url_key", url_key(F.col("url"))).sortWithinPartitions("page_id", "url", "digest", "revisit")
     return stored(spark, rows.mapInArrow(run, INDEX), "warc-runs")
 
 
@@ -165,16 +175,20 @@ def merged(runs: list[Iterator], key: Callable) -> Iterator:
 
 
 def merge_index(lines: DataFrame) -> DataFrame:
-    """The lines of all runs as one index: part is a range, and (part, position) the global order."""
+    """The lines of all runs as one index: part is a range, and (part, position) the global order. A range's slices of runs are held as
+    Arrow batches, and the tree takes a few lines of each at a time."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, runs = TaskContext.get().partitionId(), {}
-        for b in batches:
-            for line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs.setdefault(line[3], []).append(line)
+        for b in batches:  # in order of path: a run's slice is a stretch of rows
+            paths = b.column(3).dictionary_encode()
+            starts = [0, *(np.flatnonzero(np.diff(paths.indices.to_numpy())) + 1).tolist(), b.num_rows]
+            for x, y in zip(starts, starts[1:], strict=False):
+                if x < y:
+                    runs.setdefault(b.column(3)[x].as_py(), []).append(b.slice(x, y - x))
         at, out = 0, []
-        for line in merged([iter(r) for _, r in sorted(runs.items())], _order):
+        for line in merged([_streamed(r) for _, r in sorted(runs.items())], _order):
             out.append(line)
             if len(out) == 10_000:
                 yield _placed(out, part, at)
@@ -187,6 +201,13 @@ def merge_index(lines: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PLACED)
 
 
+def _streamed(batches: list[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """The rows of a run's batches, made into tuples a few at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, step).columns), strict=True)
+
+
 def _placed(lines: list[tuple], part: int, at: int) -> pa.RecordBatch:
     b = _lines(lines)
     new = [pa.array([part] * len(lines), pa.int64()), pa.array(range(at, at + len(lines)), pa.int64())]
