@@ -93,9 +93,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """An example for each reply: conv_id, example, and its span of the formatted conversation: context is [0,
-    target_start), the trainable reply is [target_start, target_end)."""
-    return formatted.where("example IS NOT NULL").select("conv_id", "example", "position", "target_start", "target_end")
+    """An example for each reply: conv_id, example (its number), position (of the reply), context_end, target_start, target_end. The context
+    is the formatted conversation's prefix [0, context_end), all turns before; of the reply [target_start, target_end) is trainable."""
+    return formatted.where("example IS NOT NULL").select("conv_id", "example", "position", F.col("at").alias("context_end"), "target_start", "target_end")
 
 
 def render(formatted: DataFrame) -> DataFrame:
@@ -107,42 +107,54 @@ def render(formatted: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", F.array_join("s.segment", "").alias("text"), "target_start", "target_end")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """A row for each formatted conversation: conv_id, n_turns, turns_sha256 (role, line end, text, line end for each
-    turn), loss_chars and loss_sha256 (texts under the loss mask), formatted_chars."""
+def read_back(formatted: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """A row for each formatted conversation: conv_id, n_turns, turns_sha256 (role, line end, text, line end for each turn), loss_chars and
+    loss_sha256 (texts under the loss masks of its examples, in order), formatted_chars, n_examples.
+
+    expanded: the examples, of formatted itself if not given. Each is held to its conversation: its context must end where the turns
+    before it do, and its reply must lie in the next turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = ()
         turns, loss = hashlib.sha256(), hashlib.sha256()
-        n = loss_chars = chars = 0
+        n = loss_chars = chars = n_examples = 0
+        last, last_at = "", 0
 
         def close() -> tuple:
-            return conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+            return conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n_examples
 
         for b in batches:
             rows = []
-            for conv_id, seg, at, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "at", "target_start", "target_end")), strict=True):
+            for conv_id, context_end, seg, at, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "context_end", "segment", "at", "target_start", "target_end")), strict=True):
                 if conv_id != conv or isinstance(conv, tuple):
                     if not isinstance(conv, tuple):
                         rows.append(close())
-                    conv, n, loss_chars, chars = conv_id, 0, 0, 0
+                    conv, n, loss_chars, chars, n_examples, last = conv_id, 0, 0, 0, 0, None
                     turns, loss = hashlib.sha256(), hashlib.sha256()
-                role, text = parse(seg)
-                turns.update(f"{role}\n{text}\n".encode())
-                if start is not None:
-                    masked = unescape(seg[start - at : end - at])
-                    loss.update(masked.encode())
-                    loss_chars += len(masked)
-                n, chars = n + 1, chars + len(seg)
+                if context_end is None:  # a turn
+                    role, text = parse(seg)
+                    turns.update(f"{role}\n{text}\n".encode())
+                    last, last_at = seg, at
+                    n, chars = n + 1, chars + len(seg)
+                    continue
+                if last is None or context_end != last_at or not last_at <= start <= end <= last_at + len(last):
+                    raise ValueError(f"an example of conversation {conv_id} doesn't follow its context")
+                masked = unescape(last[start - last_at : end - last_at])
+                loss.update(masked.encode())
+                loss_chars, n_examples = loss_chars + len(masked), n_examples + 1
             if rows:
                 yield batch(rows)
         if not isinstance(conv, tuple):
             yield batch([close()])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+    nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    own = formatted.select("conv_id", "position", nothing("context_end", "long"), "segment", "at", nothing("target_start", "long"), nothing("target_end", "long"))
+    expanded = examples(formatted) if expanded is None else expanded
+    each = expanded.select("conv_id", "position", "context_end", nothing("segment", "string"), nothing("at", "long"), "target_start", "target_end")
+    rows = own.unionByName(each).repartition("conv_id").sortWithinPartitions("conv_id", "position", F.col("context_end").isNotNull())
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

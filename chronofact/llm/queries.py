@@ -53,7 +53,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = named(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+    formatted = chat.format_turns(turns.unionByName(extra))
+    return chat.read_back(formatted, chat.examples(formatted))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,8 @@ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant',
 s AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\])')) + CASE WHEN role = 'assistant' THEN 9 ELSE 19 + length(role) END AS chars FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+count(*) FILTER (role = 'assistant') AS n_examples FROM s GROUP BY conv_id
 """
 
 
