@@ -5,8 +5,8 @@ learned by sequential covering: labelled rows become a histogram over quantile b
 condition by condition from two thirds of them by information gain, pruned on the rest, and taken off before the next
 rule is sought. The list is emitted as one ordered CASE expression.
 
-Learning reads the labelled documents only, in two aggregations. What reaches the driver is the cut points and at most
-(cuts + 1) ** statistics cells, however many rows there are.
+Learning reads the labelled documents only, `sample_rows` of them at most (a hash of their ids chooses where there are
+more). What reaches the driver is the cut points and the cells that these rows fall into, so no more than `sample_rows`.
 """
 
 from __future__ import annotations
@@ -77,7 +77,6 @@ def base_failed() -> Column:
 
 
 
-
 def features() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     return {
@@ -187,7 +186,11 @@ def _between(values: list[float]) -> list[float]:
     return [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
 
 
-def learn(stats: DataFrame, labels: DataFrame, n_cuts: int = 24, precision: float = 0.9, most_rules: int = 8, most_conditions: int = 3) -> list[Rule]:
+#: Labelled rows that a list is learned from at most.
+SAMPLE_ROWS = 100_000
+
+
+def learn(stats: DataFrame, labels: DataFrame, n_cuts: int = 24, precision: float = 0.9, most_rules: int = 8, most_conditions: int = 3, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules for rejecting documents, from labels.quality (1 good, 0 bad; others and null are left out).
 
     n_cuts: cut points for each statistic, at its quantiles among the bad and among the good. precision: the least share
@@ -195,6 +198,9 @@ def learn(stats: DataFrame, labels: DataFrame, n_cuts: int = 24, precision: floa
     """
     spark = stats.sparkSession
     marked = named(labels, "doc_id", "quality").where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality").distinct()
+    share = min(1.0, sample_rows / max(1, marked.count()))
+    if share < 1:
+        marked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))  # sample_rows
     values = features()
     rows = stats.where(~base_failed()).join(marked, F.col("doc_id") == F.col("_id"))
     rows = stored(spark, rows.select("doc_id", "quality", *[v.alias(k) for k, v in values.items()]), "quality-labelled")
