@@ -13,8 +13,12 @@ LEVELS = {"ids": 5000, "compact": 500, "full": 500}
 
 
 def money(c: Column | str) -> Column:
-    """A sum in decimals doesn't depend on the order of its rows."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)"))
+    """A sum that doesn't depend on the order of its rows: in decimals of ten places, as a double. Values of 10 ** 18 or more, NaN and
+    infinities don't fit these and are summed as doubles."""
+    value = F.col(c) if isinstance(c, str) else c
+    exact = value.try_cast("decimal(28,10)")
+    rest = F.sum(F.when(exact.isNull(), value.cast("double")))
+    return F.coalesce(F.sum(exact).cast("double") + rest, F.sum(exact).cast("double"), rest)
 
 
 def matching(store: Store, subject=None, predicate=None, object=None, value_text=None, min_confidence=None, rank=None, valid_at=None, system_at=None) -> DataFrame:  # noqa: A002

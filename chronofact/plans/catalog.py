@@ -572,6 +572,27 @@ def plan_commit(spark, sf_dir, store):
     return write.plan_commit(store, _candidates(spark, sf_dir)).select("ord", "outcome")
 
 
+@registered("V3_mixed_commit", """SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 20 BETWEEN 1 AND 6 THEN 'reject' WHEN o_orderkey % 20 = 7 THEN 'insert' ELSE 'reconfirm' END AS outcome FROM orders UNION ALL
+    SELECT -s_suppkey - 1, CASE s_suppkey % 4 WHEN 0 THEN 'reconfirm' WHEN 1 THEN CASE WHEN s_suppkey < (SELECT max(s_suppkey) FROM supplier) THEN 'conflict' ELSE 'insert' END
+    WHEN 2 THEN CASE WHEN s_suppkey < (SELECT max(s_suppkey) FROM supplier) THEN 'conflict' ELSE 'insert' END ELSE 'insert' END FROM supplier""")
+def mixed_commit(spark, sf_dir, store):
+    """Entity values and identifying names in one batch, in order of ord. Of four suppliers, one repeats its name, one claims that of the next,
+    one a new name that the next, which comes before it, claims as well."""
+    k = F.col("s_suppkey") % 4
+    none = lambda t: F.lit(None).cast(t)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    top = s.agg(F.max("s_suppkey").alias("top"))
+    after = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("next"))
+    s = s.join(after, "s_suppkey", "left").crossJoin(F.broadcast(top))  # one row
+    text = F.when(k == 0, F.col("s_name")).when(k == 1, F.coalesce("next", F.lit("nobody's"))).when(k == 2, F.concat(F.lit("Fresh "), (F.col("s_suppkey") + 1).cast("string"))).otherwise(F.concat(F.lit("Fresh "), F.col("s_suppkey").cast("string")))
+    names = s.select(
+        (-F.col("s_suppkey") - 1).alias("ord"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("subject_id"), F.lit("name").alias("predicate_id"), F.lit("string").alias("value_type"),
+        none("string").alias("object_id"), text.alias("value_text"), none("double").alias("value_number"), none("string").alias("value_unit"), none("timestamp_ntz").alias("value_datetime"),
+        F.lit("normal").alias("rank"), F.lit(1.0).alias("confidence"), none("timestamp_ntz").alias("valid_from"), none("timestamp_ntz").alias("valid_to"), F.lit("src:master").alias("source_id"),
+    )
+    return write.plan_commit(store, _candidates(spark, sf_dir).unionByName(names)).select("ord", "outcome")
+
+
 @registered("V6_supersede", sql("""SELECT predicate_id, rank, system_to IS NULL AS current, count(*) AS n FROM (SELECT predicate_id, rank, CASE WHEN predicate_id = 'segment' AND system_to IS NULL THEN TIMESTAMP '2000-01-01' ELSE system_to END AS system_to
     FROM stmt UNION ALL SELECT predicate_id, 'deprecated', NULL FROM stmt WHERE predicate_id = 'segment' AND system_to IS NULL) WHERE predicate_id IN ('segment', 'name') GROUP BY ALL"""))
 def supersede(spark, sf_dir, store):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,26 +24,41 @@ def _name(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _plans(node) -> Iterator:
-    """A plan and all plans below it, in common table expressions and in subqueries of expressions."""
-    yield node
-    if _name(node) == "UnresolvedWith":
-        for pair in _seq(node.cteRelations()):
-            yield from _plans(pair._2())
-    for child in _seq(node.children()):
-        yield from _plans(child)
-    for e in _seq(node.expressions()):
-        for sub in _expressions(e):
-            if _name(sub) in SUBQUERIES:
-                yield from _plans(sub.plan())
-
-
 def _expressions(e) -> Iterator:
     yield e
     for child in _seq(e.children()):
         yield from _expressions(child)
 
 
+def _walk(node, scope: set[str], views: set[str]) -> None:
+    """Hold a plan and all plans below it to the rules. scope: the common table expressions that it can see. The body of one sees those
+    around its WITH and those before it in the same WITH, never itself, as in Spark's own resolution."""
+    kind = _name(node)
+    if "Command" in kind or "Insert" in kind or "Drop" in kind or "Create" in kind or kind.startswith("Alter"):
+        raise ValueError(f"{kind} is not allowed")
+    if kind == "UnresolvedTableValuedFunction":
+        raise ValueError("table functions are not allowed")
+    if kind == "UnresolvedRelation":
+        parts = [str(x).lower() for x in _seq(node.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in views | scope:
+            raise ValueError(f"table {'.'.join(parts)} is not allowed; allowed: {', '.join(sorted(views))}")
+    if kind == "UnresolvedWith":
+        if node.allowRecursion():
+            raise ValueError("WITH RECURSIVE is not allowed")
+        scope = set(scope)
+        for relation in _seq(node.cteRelations()):
+            _walk(relation._2(), scope, views)
+            scope.add(relation._1().lower())
+    for e in _seq(node.expressions()):
+        for sub in _expressions(e):
+            if _name(sub) == "UnresolvedFunction" and (f := str(_seq(sub.nameParts())[-1]).lower()) in DENIED:
+                raise ValueError(f"function {f} is not allowed")
+            if _name(sub) in SUBQUERIES:
+                _walk(sub.plan(), scope, views)
+    for child in _seq(node.children()):
+        _walk(child, scope, views)
+
+
 def check(spark: SparkSession, query: str, views: set[str]) -> None:
     """Raise ValueError unless the query is one select over views and its own common table expressions."""
     try:
@@ -50,36 +67,39 @@ def check(spark: SparkSession, query: str, views: set[str]) -> None:
         raise ValueError(f"not one readable statement: {str(e).splitlines()[0]}") from None
     if _name(plan) not in ROOTS:
         raise ValueError(f"only SELECT is allowed, not {_name(plan)}")
-    named: set[str] = set()
-    nodes = list(_plans(plan))
-    for n in nodes:
-        if _name(n) == "UnresolvedWith":
-            named |= {pair._1().lower() for pair in _seq(n.cteRelations())}
-    for n in nodes:
-        kind = _name(n)
-        if "Command" in kind or "Insert" in kind or "Drop" in kind or "Create" in kind or kind.startswith("Alter"):
-            raise ValueError(f"{kind} is not allowed")
-        if kind == "UnresolvedTableValuedFunction":
-            raise ValueError("table functions are not allowed")
-        if kind == "UnresolvedRelation":
-            parts = [str(x).lower() for x in _seq(n.multipartIdentifier())]
-            if len(parts) != 1 or parts[0] not in views | named:
-                raise ValueError(f"table {'.'.join(parts)} is not allowed; allowed: {', '.join(sorted(views))}")
-        for e in _seq(n.expressions()):
-            for sub in _expressions(e):
-                if _name(sub) == "UnresolvedFunction" and (f := str(_seq(sub.nameParts())[-1]).lower()) in DENIED:
-                    raise ValueError(f"function {f} is not allowed")
-
-
-def run(spark: SparkSession, query: str, views: dict[str, DataFrame], limit: int = 200) -> tuple[DataFrame, bool]:
-    """The first rows of a checked query, and whether there are more. The views are
-    registered in the session under their names."""
+    _walk(plan, set(), {v.lower() for v in views})
+
+
+def run(spark: SparkSession, query: str, views: dict[str, DataFrame], limit: int = 200, seconds: float = 60.0) -> tuple[DataFrame, bool]:
+    """The first rows of a checked query, and whether there are more. It runs once, for `seconds` at most (then TimeoutError). The views
+    have their names in the session for as long as it runs; a temporary view of the session with such a name is lost."""
     check(spark, query, set(views))
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+    group, late = f"guarded-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
     try:
-        out = spark.sql(query)
-    except Exception as e:
-        columns = "; ".join(f"{n}({', '.join(d.columns)})" for n, d in views.items())
-        raise ValueError(f"{str(e).splitlines()[0]} Available: {columns}") from None
-    return out.limit(limit), out.limit(limit + 1).count() > limit
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        try:
+            out = spark.sql(query)
+        except Exception as e:
+            columns = "; ".join(f"{n}({', '.join(d.columns)})" for n, d in views.items())
+            raise ValueError(f"{str(e).splitlines()[0]} Available: {columns}") from None
+        spark.sparkContext.setJobGroup(group, "guarded SQL", interruptOnCancel=True)
+        timer.start()
+        try:
+            rows = out.limit(limit + 1).collect()  # limit + 1 rows at most
+        except Exception:
+            if late.is_set():
+                raise TimeoutError(f"the query took more than {seconds:g} seconds") from None
+            raise
+        return spark.createDataFrame(rows[:limit], out.schema), len(rows) > limit
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name in views:
+            spark.catalog.dropTempView(name)

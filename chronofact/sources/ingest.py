@@ -29,16 +29,17 @@ def handle(text: Column) -> Column:
 
 
 def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key, the first in input order."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Of rows with one key, the first in input order; rows without a key all stay."""
+    w = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(order))).orderBy(order)  # rows without a key stand alone
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def follower_rows(pasted: DataFrame, known: DataFrame) -> DataFrame:
     """pasted (pos, username) as pos, username, status: invalid, duplicate, confirmed (in known) or new_entity."""
     rows = pasted.select("pos", handle(F.col("username")).alias("username"))
-    n = F.row_number().over(Window.partitionBy("username").orderBy("pos"))
-    rows = rows.withColumn("_n", n).join(known.select("username", F.lit(True).alias("_known")), "username", "left")
+    rows = rows.withColumn("_key", F.coalesce("username", F.concat(F.lit("\0"), F.col("pos").cast("string"))))  # invalid rows aren't one group
+    n = F.row_number().over(Window.partitionBy("_key").orderBy("pos"))
+    rows = rows.withColumn("_n", n).join(known.select(F.col("username").alias("_key"), F.lit(True).alias("_known")), "_key", "left")
     status = F.when(F.col("username").isNull(), "invalid").when(F.col("_n") > 1, "duplicate").when(F.col("_known"), "confirmed").otherwise("new_entity")
     return rows.select("pos", "username", status.alias("status"))
 

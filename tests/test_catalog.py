@@ -11,7 +11,7 @@ from chronofact import model
 
 ROOT = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["F0_contains_per_nation", "F1_list_page", "A3_sum_by_unit", "A6_degree", "J3_chain2", "W2_label_changes", "W3_runs", "G1_levels", "G2_shortest_paths_total", "R1_embed", "V3_plan_commit", "I5_followers", "S12_links", "T1_sessions"]
+CHOSEN = ["F0_contains_per_nation", "F1_list_page", "A3_sum_by_unit", "A6_degree", "J3_chain2", "W2_label_changes", "W3_runs", "G1_levels", "G2_shortest_paths_total", "R1_embed", "V3_plan_commit", "V3_mixed_commit", "I5_followers", "S12_links", "T1_sessions"]
 
 
 @pytest.fixture(scope="module")
