@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.model import Store
-from chronofact.operators import filters, registry
+from chronofact.operators import filters, registry, resolve
 from chronofact.session import stored
 
 
@@ -20,7 +20,7 @@ def edges(store: Store, predicates: list[str] | None = None, min_confidence: flo
     The merged ones are few, so they are taken out by anti joins rather than the whole entity table joined twice."""
     said = store.statements.where(filters.visible(min_confidence=min_confidence) & (F.col("value_type") == "entity"))
     if predicates:
-        said = said.where(F.col("predicate_id").isin(predicates))
+        said = said.where(F.col("predicate_id").isin(registry.known_predicates(store.predicates, predicates)))
     gone = store.entities.where("merged_into IS NOT NULL").select("id")
     out = said.select("id", F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), "predicate_id", "confidence")
     return out.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("id", "src", "dst", "predicate_id", "confidence")
@@ -54,6 +54,7 @@ def induced(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def neighborhood(store: Store, start: str, depth: int = 1, max_nodes: int = 150, predicates: list[str] | None = None, min_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, depth, degree over all predicates, total_nodes), the nearest max_nodes of them, and their induced edges."""
+    (start,) = resolve.canonical_inputs(store, [start])
     e = edges(store, predicates, min_confidence)
     found = levels(stored(e.sparkSession, both_ways(e), "pairs") if depth > 1 else both_ways(e), start, depth)
     total = found.agg(F.count("*").alias("total_nodes"))
@@ -80,6 +81,7 @@ def shortest_paths(store: Store, start: str, end: str, max_depth: int = 6, max_p
     """All shortest paths as node arrays, with their number (total) and length; the max_paths least by their nodes from the end.
     Counts are summed level by level (decimal), and only nodes on shortest paths are enumerated."""
     spark = store.statements.sparkSession
+    start, end = (resolve.canonical_inputs(store, [x])[0] for x in (start, end))
     if start == end:
         return spark.range(1).select(F.array(F.lit(start)).alias("nodes"), F.lit(0).alias("length"), F.lit(1).cast("decimal(38,0)").alias("total"))
     pairs = stored(spark, both_ways(edges(store, predicates, min_confidence)).where("a <> b"), "pairs")
@@ -117,6 +119,7 @@ def path_edges(store: Store, paths: DataFrame, predicates: list[str] | None = No
 def path_to_targets(store: Store, start: str, targets: list[str], max_depth: int = 6) -> DataFrame:
     """One shortest path from start to the nearest target (least id among equals), by parents of least id."""
     spark = store.statements.sparkSession
+    (start,), targets = resolve.canonical_inputs(store, [start]), resolve.canonical_inputs(store, targets)
     if start in targets:
         return spark.range(1).select(F.array(F.lit(start)).alias("nodes"))
     pairs = stored(spark, both_ways(edges(store)), "pairs")
@@ -145,6 +148,7 @@ def common_neighbors(store: Store, ids: list[str], predicates: list[str] | None
     """neighbor, shared_count, shared_with (comma-joined): who is next to several of 2 to 10 entities, these left out."""
     if not 2 <= len(ids) <= 10 or len(set(ids)) < len(ids):
         raise ValueError("between 2 and 10 different entities are needed")
+    ids = resolve.canonical_inputs(store, ids)
     near = neighbor_sets(edges(store, predicates), direction).where(F.col("node").isin(ids) & ~F.col("neighbor").isin(ids))
     rows = near.groupBy("neighbor").agg(F.count("*").alias("shared_count"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("shared_with"))
     return rows.where(F.col("shared_count") >= min_shared)
@@ -152,6 +156,7 @@ def common_neighbors(store: Store, ids: list[str], predicates: list[str] | None
 
 def similar(store: Store, entity: str, predicates: list[str] | None = None, direction: str = "both") -> DataFrame:
     """id, overlap, score: Jaccard similarity of neighbour sets for all that share a neighbour with the entity."""
+    (entity,) = resolve.canonical_inputs(store, [entity])
     near = neighbor_sets(edges(store, predicates), direction)
     own = near.where(F.col("node") == entity).select("neighbor")
     shared = near.where(F.col("node") != entity).join(own, "neighbor").groupBy("node").agg(F.count("*").alias("overlap"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.model import Store
-from chronofact.operators import filters
+from chronofact.operators import filters, resolve
 
 
 def label_changes(said: DataFrame, predicate: str = "name") -> DataFrame:
@@ -32,6 +32,7 @@ def runs(rows: DataFrame, by: list[str], at: str, least: int = 3) -> DataFrame:
 def timeline(store: Store, entity: str) -> DataFrame:
     """What happened to an entity: occurrents that name it (with the predicates that do), its dated statements and the changes
     of its label; dated rows in order, undated ones last."""
+    (entity,) = resolve.canonical_inputs(store, [entity])
     now = store.statements.where(filters.visible())
     kinds = [r["id"] for r in store.types.where("kind = 'occurrent'").collect()]  # a row for each type
     happenings = store.entities.where(F.col("type_id").isin(kinds)).select(F.col("id").alias("subject_id"), "type_id")

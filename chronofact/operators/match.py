@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.model import Store
-from chronofact.operators import filters
+from chronofact.operators import filters, registry, resolve
 
 
 @dataclass(frozen=True)
@@ -75,9 +75,14 @@ def bindings(store: Store, pattern: Pattern, **when) -> DataFrame:
 
 
 def match(store: Store, patterns: list[Pattern], select: list[str], **when) -> DataFrame:
-    """Distinct bindings of the selected variables (columns without their question mark). Patterns that share no variable
+    """Distinct bindings of the selected variables (columns without their question mark). An id that was merged away stands for
+    the entity it went into; unknown ids and predicates are errors. Patterns that share no variable
     multiply, as they are meant to; Catalyst chooses how the others are joined."""
     check(patterns, select)
+    registry.known_predicates(store.predicates, sorted({p for _, p, _ in patterns if not is_variable(p)}))
+    ends = sorted({x for s, _, o in patterns for x in (s, o) if isinstance(x, str) and not is_variable(x)})
+    stands = {x: resolve.canonical_inputs(store, [x])[0] for x in ends}
+    patterns = [tuple(stands.get(x, x) if isinstance(x, str) and i != 1 else x for i, x in enumerate(t)) for t in patterns]
     out = None
     for t in joined_order(patterns):
         own = bindings(store, t, **when)
@@ -102,6 +107,7 @@ KEYS = {"predicate_id", "object_id", "subject_id", "value_text", "min_confidence
 def members(store: Store, where: dict, on: str) -> DataFrame:
     if odd := set(where) - KEYS:
         raise ValueError(f"unknown filters: {', '.join(sorted(odd))}")
+    registry.known_predicates(store.predicates, [where["predicate_id"]] if "predicate_id" in where else [])
     said = store.statements.where(filters.visible(where.get("valid_at"), None, None, where.get("min_confidence")))
     for c in ("predicate_id", "object_id", "subject_id", "value_text"):
         if c in where:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofact.model import Store
-from chronofact.operators import filters, registry
+from chronofact.operators import filters, registry, resolve
 
 VALUES = ["value_text", "value_number", "value_unit", "value_datetime"]
 LEVELS = {"ids": 5000, "compact": 500, "full": 500}
@@ -22,7 +22,8 @@ def money(c: Column | str) -> Column:
 
 
 def matching(store: Store, subject=None, predicate=None, object=None, value_text=None, min_confidence=None, rank=None, valid_at=None, system_at=None) -> DataFrame:  # noqa: A002
-    """Statements that meet all filters that are given."""
+    """Statements that meet all filters that are given. An unknown predicate is an error."""
+    registry.known_predicates(store.predicates, [] if predicate is None else [predicate])
     said = store.statements.where(filters.visible(valid_at, system_at, rank, min_confidence))
     for column, value in (("subject_id", subject), ("predicate_id", predicate), ("object_id", object), ("value_text", value_text)):
         if value is not None:
@@ -85,7 +86,9 @@ def labelled(store: Store, groups: DataFrame, key: str) -> DataFrame:
 
 
 def entity_view(store: Store, entity: str, include_deprecated: bool = False, **when) -> DataFrame:
-    """All that is said of an entity and with it as the object: direction out or in, in canonical order."""
+    """All that is said of an entity and with it as the object: direction out or in, in canonical order.
+    An id that was merged away stands for the entity it went into; an unknown one is an error."""
+    (entity,) = resolve.canonical_inputs(store, [entity])
     said = store.statements.where(filters.as_of(when.get("valid_at"), when.get("system_at")) & filters.trusted(when.get("min_confidence")))
     if when.get("rank") or not include_deprecated:
         said = said.where(filters.of_rank(when.get("rank")))

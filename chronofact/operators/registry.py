@@ -35,6 +35,12 @@ def descendants(types: DataFrame, type_id: str) -> list[str]:
     return out
 
 
+def known_predicates(predicates: DataFrame, names: list[str]) -> list[str]:
+    """names, if all are predicates of the vocabulary; else an error that suggests near ones."""
+    words = [r["id"] for r in predicates.select("id").collect()] if names else []  # a row for each predicate
+    return [filters.known(n, words, "predicate") for n in names]
+
+
 def interfaces(types: DataFrame, implements: DataFrame) -> DataFrame:
     """type_id, interface_id, inherited down the tree."""
     up = closure(types)

@@ -30,6 +30,26 @@ def canonical_ids(entities: DataFrame, most_rounds: int = 40) -> DataFrame:
     return hop.join(least, "to", "left").select("id", F.coalesce("least", "to").alias("canonical_id"))
 
 
+def canonical_inputs(store: Store, ids: list[str]) -> list[str]:
+    """The entities that some given ids stand for now, in their order, each once: the ends of their merge chains (the least id of a cycle).
+    An unknown id is an error. One small job for each step of the longest chain."""
+    hop: dict[str, str | None] = {}
+    asked = set(ids)
+    while asked:
+        rows = store.entities.where(F.col("id").isin(sorted(asked))).select("id", "merged_into").collect()  # a row for each id
+        if lost := asked - {r["id"] for r in rows}:
+            raise ValueError(f"unknown entity {', '.join(sorted(lost))}")
+        hop |= {r["id"]: r["merged_into"] for r in rows}
+        asked = {x for x in hop.values() if x is not None and x not in hop}
+    out = []
+    for x in ids:
+        seen = [x]
+        while (nxt := hop[seen[-1]]) is not None and nxt not in seen:
+            seen.append(nxt)
+        out.append(seen[-1] if nxt is None else min(seen[seen.index(nxt) :]))
+    return list(dict.fromkeys(out))
+
+
 def rewritten(said: DataFrame, canonical: DataFrame) -> DataFrame:
     """Statements after merges: both ends canonical, and loops that a merge made taken out."""
     was_loop = F.col("subject_id") == F.col("object_id")

@@ -386,10 +386,10 @@ def shortest_paths_total(spark, sf_dir, store):
     return rows.select("length", F.col("total").cast("long").alias("total"))
 
 
-@registered("G2_shortest_paths", sql("""SELECT array_to_string([a.a, a.b, b.b, c.b, d.b], ' ') AS nodes FROM pair a JOIN pair b ON b.a = a.b JOIN pair c ON c.a = b.b JOIN pair d ON d.a = c.b WHERE a.a = 'supplier:1' AND d.b = 'region:0'
-    AND (SELECT depth FROM c4 WHERE node = 'region:0') = 4 AND b.b NOT IN (a.a) AND c.b NOT IN (a.a, a.b) ORDER BY d.b, c.b, b.b, a.b LIMIT 20""", **_paths("supplier:1", "region:0", 4)))
+@registered("G2_shortest_paths", sql("""SELECT array_to_string([a.a, a.b, b.b, c.b, d.b], ' ') AS nodes FROM pair a JOIN pair b ON b.a = a.b JOIN pair c ON c.a = b.b JOIN pair d ON d.a = c.b WHERE a.a = 'customer:1' AND d.b = 'customer:2'
+    AND (SELECT depth FROM c4 WHERE node = 'customer:2') = 4 AND b.b NOT IN (a.a) AND c.b NOT IN (a.a, a.b) ORDER BY d.b, c.b, b.b, a.b LIMIT 20""", **_paths("customer:1", "customer:2", 4)))
 def shortest_paths(spark, sf_dir, store):
-    rows = graph.shortest_paths(store, "supplier:1", "region:0", max_depth=4, max_paths=20).where("length = 4")
+    rows = graph.shortest_paths(store, "customer:1", "customer:2", max_depth=4, max_paths=20).where("length = 4")
     return rows.select(F.array_join("nodes", " ").alias("nodes"))
 
 
@@ -398,10 +398,21 @@ def path_to_targets(spark, sf_dir, store):
     return graph.path_to_targets(store, "order:1", ["region:0", "region:1", "region:2", "region:3", "region:4"])
 
 
-@registered("G4_common_neighbors", sql("""SELECT neighbor, count(*) AS shared_count, string_agg(node, ',' ORDER BY node) AS shared_with FROM (SELECT DISTINCT dst AS node, src AS neighbor FROM edge WHERE predicate_id = 'contains'
-    AND dst IN ('part:1', 'part:2', 'part:3', 'part:4', 'part:5')) GROUP BY 1 HAVING count(*) >= 2"""))
+@registered("G4_common_neighbors", sql("""SELECT neighbor, count(*) AS shared_count, string_agg(node, ',' ORDER BY node) AS shared_with FROM (SELECT DISTINCT src AS node, dst AS neighbor FROM edge WHERE predicate_id = 'part_of'
+    AND src IN ('nation:0', 'nation:1', 'nation:2', 'nation:3', 'nation:4', 'nation:5', 'nation:6', 'nation:7')) GROUP BY 1 HAVING count(*) >= 2"""))
 def common_neighbors(spark, sf_dir, store):
-    return graph.common_neighbors(store, [f"part:{i}" for i in range(1, 6)], ["contains"], "in", 2)
+    return graph.common_neighbors(store, [f"nation:{i}" for i in range(8)], ["part_of"], "out", 2)
+
+
+@registered("X4_merged_start", sql("""SELECT x.node, x.depth FROM l1 x""", **_bfs("customer:97", 1)))
+def merged_start(spark, sf_dir, store):
+    """Customer 99 was merged into 98, and that into 97."""
+    return graph.neighborhood(store, "customer:99", 1, max_nodes=1_000_000)[0].select("node", "depth")
+
+
+@registered("X4_match_merged", sql(f"SELECT DISTINCT subject_id AS o FROM ({FACTS}) WHERE predicate_id = 'placed_by' AND object_id = 'customer:97'"))
+def match_merged(spark, sf_dir, store):
+    return match.match(store, [("?o", "placed_by", "customer:98")], ["?o"])
 
 
 NEAR = "SELECT DISTINCT dst AS node, src AS neighbor FROM edge WHERE predicate_id = 'contains'"
@@ -462,9 +473,9 @@ def skeleton(spark, sf_dir, store):
 
 
 @registered("G12_snapshot", sql("""SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT id FROM top) AND e.dst IN (SELECT id FROM top)""",
-    top="SELECT id FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) JOIN ent USING (id) ORDER BY degree DESC, created_at DESC, id LIMIT 100"))
+    top="SELECT id FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) JOIN ent USING (id) ORDER BY degree DESC, created_at DESC, id LIMIT 200"))
 def snapshot(spark, sf_dir, store):
-    return graph.snapshot(store)[1].select("id", "src", "dst")
+    return graph.snapshot(store, 200)[1].select("id", "src", "dst")
 
 
 @registered("G13_positions", "SELECT user_id::VARCHAR AS node, arg_max(value, ts) AS x, arg_max(event_id, ts)::DOUBLE AS y FROM events GROUP BY 1")
@@ -522,11 +533,11 @@ def resolve_batch(spark, sf_dir, store):
     return resolve.candidates(store, rows)
 
 
-@registered("R6_get_or_create", """SELECT s_suppkey AS ref, s_suppkey % 2 = 1 AS created FROM supplier""")
+@registered("R6_get_or_create", """SELECT s_suppkey AS ref, s_suppkey % 2 = 1 AS created, CASE WHEN s_suppkey % 2 = 0 THEN 'supplier:' || s_suppkey ELSE 'new:' || sha1('Supplier|brand new house ' || reverse(sha1(s_suppkey::VARCHAR))) END AS id FROM supplier""")
 def get_or_create(spark, sf_dir, store):
     fresh = F.concat(F.lit("Brand new house "), F.reverse(F.sha1(F.col("s_suppkey").cast("string"))))
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("ref"), F.lit("Supplier").alias("type_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(fresh).alias("label"))
-    return resolve.get_or_create(store, rows.withColumn("key", F.col("label"))).select("ref", "created")
+    return resolve.get_or_create(store, rows.withColumn("key", F.col("label"))).select("ref", "created", "id")
 
 
 @registered("X4_canonical", "SELECT 'customer:' || c_custkey AS id, 'customer:' || (c_custkey - (c_custkey % 100 - 97)) AS canonical_id FROM customer WHERE c_custkey % 100 >= 98")
@@ -615,7 +626,7 @@ def closure(spark, sf_dir, store):
     return registry.closure(store.types)
 
 
-@registered("P5_review")
+@registered("P5_review", "SELECT * FROM (VALUES ('likes', ''), ('liked_by', ''), ('code', 'no domain; no cardinality; identifying needs string and 1:1')) v(id, problems)")
 def review(spark, sf_dir, store):
     rows = [("likes", "Agent", None, "entity", "Part", "n:m", False, "liked_by"), ("liked_by", "Part", None, "entity", "Agent", "n:m", False, "likes"), ("code", None, None, "number", None, None, True, None)]
     proposed = model.literal_table(spark, rows, "id string, domain_type string, domain_interface string, range_kind string, range_type string, cardinality string, identifying boolean, inverse_id string")
