@@ -612,6 +612,31 @@ def supersede(spark, sf_dir, store):
     return out.groupBy("predicate_id", "rank", F.col("system_to").isNull().alias("current")).agg(F.count("*").alias("n"))
 
 
+@registered("V6_supersede_children", sql("""SELECT k, n FROM (SELECT 'qualifiers' AS k, count(*) + count(*) FILTER (s.system_to IS NULL) AS n FROM quals q JOIN stmt s ON s.id = q.statement_id
+    UNION ALL SELECT 'references', (SELECT count(*) FROM refs) + (SELECT count(*) FROM stmt WHERE predicate_id = 'contains' AND system_to IS NULL) UNION ALL SELECT 'statements', (SELECT count(*) FROM stmt)
+    + (SELECT count(*) FROM stmt WHERE predicate_id = 'contains' AND system_to IS NULL))"""))
+def supersede_children(spark, sf_dir, store):
+    edits = store.statements.where("predicate_id = 'contains'").select("id", F.lit(None).cast("string").alias("rank"), F.lit(0.5).alias("confidence"))
+    said, quals, refs = write.supersede_whole(store, edits, "2000-01-01 00:00:00")
+    total = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
+    return total(quals, "qualifiers").unionByName(total(refs, "references")).unionByName(total(said, "statements"))
+
+
+@registered("V9_fix_statements", sql("""SELECT id, CASE WHEN k % 4 = 0 THEN 'FIXED' ELSE value_text END AS value_text, confidence FROM (SELECT *, CAST(split_part(subject_id, ':', 2) AS BIGINT) AS k FROM stmt WHERE predicate_id = 'segment')
+    WHERE k % 4 <> 1"""))
+def fix_statements(spark, sf_dir, store):
+    """Of four customers' segments, one is overwritten and one removed; a bad confidence and a missing reason keep the others as they are."""
+    own = store.statements.where("predicate_id = 'segment'")
+    k = F.split("subject_id", ":")[1].cast("long") % 4
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    fixes = own.select(
+        "id", F.when(k != 3, "wrong in the source").alias("reason"), (k == 1).alias("remove"), F.when(k == 0, "string").alias("value_type"), none("object_id", "string"), F.when(k == 0, "FIXED").alias("value_text"),
+        none("value_number", "double"), none("value_unit", "string"), none("value_datetime", "timestamp_ntz"), none("rank", "string"), F.when(k >= 2, F.when(k == 2, 1.5).otherwise(0.1)).alias("confidence"),
+        none("valid_from", "timestamp_ntz"), none("valid_to", "timestamp_ntz"),
+    )
+    return write.fix_statements(store, fixes)[0].where("predicate_id = 'segment'").select("id", "value_text", "confidence")
+
+
 @registered("V10_removable", sql(f"""SELECT e.id, NOT EXISTS (SELECT 1 FROM stmt WHERE {VISIBLE} AND (subject_id = e.id OR object_id = e.id)) AND e.merged_into IS NULL AND e.id NOT IN
     (SELECT merged_into FROM ent WHERE merged_into IS NOT NULL) AS removable FROM ent e WHERE type_id IN ('Document', 'Customer', 'Page')"""))
 def removable(spark, sf_dir, store):

@@ -290,6 +290,40 @@ def test_writes(spark, store):
     assert edited.where("id LIKE 'r000%' AND system_to IS NULL").first()["rank"] == "deprecated"
 
 
+def test_errata(spark, store):
+    schema = "id string, reason string, remove boolean, value_type string, object_id string, value_text string, value_number double, value_unit string, value_datetime timestamp_ntz, rank string, confidence double, valid_from timestamp_ntz, valid_to timestamp_ntz"
+    track = "r%03d" % ROWS.index(("stop0", "next_to", "stop1", {}))
+    none = [None] * 4
+    rows = [
+        (track, "typo", None, "entity", "stop2", None, None, None, None, *none), ("r000", "never was", True, *[None] * 6, *none), ("n1", "closed rows too", None, "string", None, "Harbor", None, None, None, *none),
+        ("n2", " ", None, "string", None, "x", None, None, None, *none), ("f0", "free", None, "string", None, "x", None, None, None, *none), ("f1", "doubt", None, *[None] * 6, None, 0.25, None, None), ("zz", "lost", None, *[None] * 6, *none),
+    ]
+    said_after, quals, refs, report = write.fix_statements(store, spark.createDataFrame(rows, schema))
+    assert {r.id: r.outcome for r in report.collect()} == {track: "fixed", "r000": "deleted", "n1": "fixed", "n2": "reject", "f0": "reject", "f1": "fixed", "zz": "reject"}
+    got = {r.id: r for r in said_after.collect()}
+    assert len(got) == store.statements.count() - 1 and got[track].object_id == "stop2" and got["n1"].value_text == "Harbor" and got["n1"].system_to is not None
+    assert got["n2"].value_text == "Old Harbour" and got["f0"].value_number == 2.5 and got["f1"].confidence == 0.25 and got["f1"].value_number == 4.25
+    assert quals.count() == 0 and refs.where("statement_id = 'r000'").count() == 0 and refs.count() == store.references.count() - 1
+    edits = spark.createDataFrame([("r000", None, 0.5)], "id string, rank string, confidence double")
+    _, quals, refs = write.supersede_whole(store, edits, "2024-01-01 00:00:00")
+    assert found(quals, "statement_id") == {"r000", "r000@2024-01-01 00:00:00"} and refs.count() == store.references.count() + 1
+
+
+def test_inputs(store):
+    """Merged ids stand for their entity; unknown ids and predicates are errors, with a suggestion for the latter."""
+    assert resolve.canonical_inputs(store, ["stop4c", "stop1", "stop4b"]) == ["stop4", "stop1"]
+    inside = dict(said("lies_in"))
+    assert found(match.match(store, [("stop4c", "lies_in", "?t")], ["?t"]), "t") == {inside["stop4"]}
+    assert found(graph.neighborhood(store, "stop4b")[0], "node") == found(graph.neighborhood(store, "stop4")[0], "node")
+    assert found(query.entity_view(store, "stop4c"), "id") == found(query.entity_view(store, "stop4"), "id")
+    for call in (lambda: graph.shortest_paths(store, "stop1", "nowhere"), lambda: query.entity_view(store, "nowhere"), lambda: match.match(store, [("nowhere", "lies_in", "?t")], ["?t"]), lambda: graph.similar(store, "nowhere")):
+        with pytest.raises(ValueError, match="unknown entity nowhere"):
+            call()
+    for call in (lambda: query.matching(store, predicate="LIES"), lambda: match.match(store, [("?s", "lies", "?t")], ["?t"]), lambda: graph.edges(store, ["lies"])):
+        with pytest.raises(ValueError, match="did you mean lies_in"):
+            call()
+
+
 def test_registry(spark, store):
     assert registry.descendants(store.types, "Spot") == ["Spot", "Stop", "Town"]
     with pytest.raises(ValueError, match="Town"):
