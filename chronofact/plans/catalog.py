@@ -494,20 +494,23 @@ def ghosts(spark, sf_dir, store):
 
 # -- text, vectors, resolution
 
-GRAMS = "SELECT id, substr(t, i, 3) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT id, '  ' || lower(trim(label)) || '  ' AS t FROM ent WHERE type_id = 'Nation'))"
+GRAMS = "SELECT id, substr(t, i, 3) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 1)) AS i FROM (SELECT id, '  ' || lower(trim(label)) || '  ' AS t FROM ent WHERE merged_into IS NULL AND label IS NOT NULL))"
 HASHED = "SELECT id, ('0x' || substr(sha1(g), 14, 3))::INTEGER & 1023 AS dim, CASE WHEN substr(sha1(g), 1, 1) >= '8' THEN -1.0 ELSE 1.0 END AS sign FROM grams"
 VECTORS = "SELECT id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM (SELECT id, dim, sum(sign)::DOUBLE AS x FROM hashed GROUP BY 1, 2 HAVING sum(sign) <> 0)"
 
 
 @registered("R1_embed", sql("SELECT id, dim, round(w, 9) AS w FROM vec", grams=GRAMS, hashed=HASHED, vec=VECTORS))
 def embed(spark, sf_dir, store):
-    return resolve.embed(store.entities.where("type_id = 'Nation'"), "id", "label").withColumn("w", F.round("w", 9))
+    """All live labels."""
+    return resolve.embed(store.entities.where("merged_into IS NULL AND label IS NOT NULL"), "id", "label").withColumn("w", F.round("w", 9))
 
 
-@registered("R2_label_similarity", sql("SELECT a.id AS query, b.id, round(sum(a.w * b.w), 9) AS similarity FROM vec a JOIN vec b USING (dim) GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5", grams=GRAMS, hashed=HASHED, vec=VECTORS))
+@registered("R2_label_similarity", sql("SELECT a.id AS query, b.id, round(sum(a.w * b.w), 9) AS similarity FROM vec a JOIN vec b USING (dim) WHERE CAST(split_part(a.id, ':', 2) AS BIGINT) % 20 = 0 GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8 - 1e-9", grams=GRAMS, hashed=HASHED, vec=VECTORS))
 def label_similarity(spark, sf_dir, store):
-    v = resolve.embed(store.entities.where("type_id = 'Nation'"), "id", "label")
-    return resolve.cosine(v.withColumnRenamed("id", "query"), v, 0.5).withColumn("similarity", F.round("similarity", 9))
+    """The labels of entities with a key divisible by 20 against all live labels."""
+    v = stored(spark, resolve.embed(store.entities.where("merged_into IS NULL AND label IS NOT NULL"), "id", "label"), "vectors")
+    asked = v.where(F.split("id", ":")[1].cast("long") % 20 == 0).withColumnRenamed("id", "query")
+    return resolve.cosine(asked, v, resolve.CANDIDATE - 1e-9).withColumn("similarity", F.round("similarity", 9))
 
 
 @registered("R2_nearest_vectors", """SELECT query, id, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity,
