@@ -198,6 +198,7 @@ def score(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
     A row for each row of docs. Null and empty texts have no words: their score is that of a text without evidence. A null
     doc_id is not held out. Without labels of both kinds, every text gets the share of toxic words. Labels, lang, source
-    and doc_id aren't read for a score. Empty tables give no rows.
+    and doc_id aren't read for a score. Empty tables give no rows. Rows that repeat, and texts that are equal, have equal scores;
+    a doc_id labelled both ways teaches both. doc_id is a number: anything else is an error of the cast.
     """
     return apply(docs, fit(docs, labels, **fitting))

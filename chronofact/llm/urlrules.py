@@ -108,7 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, url: str = "url", de
 
     A row for each row of pages. Null urls and those without :// have an empty host and path: no rule fits, the verdict is
     the default. Prefix rules of equal length: the least by name decides. Columns of pages with the new names are replaced.
-    Each distinct host and path is judged once, however many pages share it.
+    Each distinct host and path is judged once, however many pages share it. An empty table gives no rows; without rules
+    every verdict is the default.
     """
     spark = pages.sparkSession
     rules = rule_table(spark) if rules is None else rules
