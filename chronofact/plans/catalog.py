@@ -68,8 +68,8 @@ def contains_per_nation(spark, sf_dir, store):
 
 
 @registered("F1_list_page", sql(f"""SELECT s.id, s.subject_id, a.label AS subject_label, s.predicate_id, s.object_id, b.label AS object_label, s.value_text, s.value_number,
-    s.value_unit, s.value_datetime, s.rank, s.confidence, (SELECT count(*) FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND confidence >= 0.9) AS total
-    FROM (SELECT * FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND confidence >= 0.9 ORDER BY {CANON} LIMIT 50 OFFSET 10) s
+    s.value_unit, s.value_datetime, s.rank, s.confidence, s.total
+    FROM (SELECT *, count(*) OVER () AS total FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains' AND confidence >= 0.9 ORDER BY {CANON} LIMIT 50 OFFSET 10) s
     LEFT JOIN ent a ON a.id = s.subject_id LEFT JOIN ent b ON b.id = s.object_id"""))
 def list_page(spark, sf_dir, store):
     return query.list_statements(store, limit=50, offset=10, predicate="contains", min_confidence=0.9)
@@ -98,8 +98,8 @@ def list_sources(spark, sf_dir, store):
     return query.list_sources(store)
 
 
-@registered("F6_source_detail", sql("""SELECT s.id, a.label AS subject_label, s.predicate_id, b.label AS object_label, s.system_from, (SELECT count(*) FROM refs WHERE source_id = 'src:master') AS total
-    FROM (SELECT s.* FROM stmt s JOIN refs r ON r.statement_id = s.id WHERE r.source_id = 'src:master' ORDER BY s.system_from DESC, s.id LIMIT 200) s
+@registered("F6_source_detail", sql("""SELECT s.id, a.label AS subject_label, s.predicate_id, b.label AS object_label, s.system_from, s.total
+    FROM (SELECT s.*, count(*) OVER () AS total FROM stmt s JOIN refs r ON r.statement_id = s.id WHERE r.source_id = 'src:master' ORDER BY s.system_from DESC, s.id LIMIT 200) s
     LEFT JOIN ent a ON a.id = s.subject_id LEFT JOIN ent b ON b.id = s.object_id"""))
 def source_detail(spark, sf_dir, store):
     return query.source_detail(store, "src:master")
