@@ -6,6 +6,10 @@ and survives lost executors. Only counts reach the driver, and the one entity a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,13 +220,70 @@ def _settled_ranks(links: DataFrame, base: DataFrame, n: int, damping: float, to
         weight = 1 / (1 - damping**2 / (2 if weight == 1.0 else 4) * weight)
 
 
-def betweenness(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """node, betweenness (undirected, not normalised; Brandes 2001): searches from all sources go on side by side, a level of all of
-    them in one join, and dependencies flow back the same way. Work is sources times nodes: exact with all nodes as sources (None),
-    for large graphs an estimate from a sample of nodes (column node), to be scaled by its share."""
+#: Pairs of neighbours up to which a search may hold the graph in its task: four bytes each, and eight for a node.
+HELD_PAIRS = 2_000_000
+
+
+def betweenness(e: DataFrame, sources: DataFrame | None = None, held_pairs: int = HELD_PAIRS) -> DataFrame:
+    """node, betweenness (undirected, not normalised; Brandes 2001) of all nodes reached. Work is sources times pairs: exact with all nodes
+    as sources (None), for large graphs an estimate from a sample of nodes (column node), to be scaled by its share.
+
+    Up to `held_pairs` pairs of neighbours, counted first, go to every task, which searches from its share of the sources. Beyond, searches
+    from all sources go on side by side, a level of all of them in one join. The results are the same."""
     spark = e.sparkSession
     pairs = stored(spark, both_ways(e).where("a <> b"), "pairs")
     sources = pairs.select(F.col("a").alias("node")).distinct() if sources is None else sources.select("node").distinct()
+    return _held_searches(pairs, sources) if pairs.count() <= held_pairs else _joined_searches(pairs, sources)
+
+
+def _held_searches(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    spark = pairs.sparkSession
+    nodes = pairs.select(F.col("a").alias("node")).distinct()
+    nodes = stored(spark, nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("i")), "nodes")  # as many as pairs at most
+    coded = pairs.join(nodes.toDF("a", "i"), "a").join(nodes.toDF("b", "j"), "b").select("i", "j").toPandas().sort_values("i")
+    n = int(coded["i"].max()) + 1 if len(coded) else 0
+    graph = spark.sparkContext.broadcast((np.searchsorted(coded["i"].to_numpy(), np.arange(n + 1)), coded["j"].to_numpy(dtype=np.int32)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, to = graph.value
+        total, reached = np.zeros(n), np.zeros(n, dtype=bool)
+        for batch in batches:
+            for s in batch["i"]:
+                _add_shares(starts, to, s, total, reached)
+        at = np.flatnonzero(reached)
+        yield pd.DataFrame({"i": at.astype(np.int32), "share": total[at]})
+
+    asked = sources.join(nodes, "node").select("i").repartition(4 * spark.sparkContext.defaultParallelism)
+    shares = asked.mapInPandas(search, "i int, share double").groupBy("i").agg((F.sum("share") / 2).alias("betweenness"))
+    found = stored(spark, shares.join(nodes, "i").select("node", "betweenness"), "betweenness")
+    return found if found.limit(1).count() else sources.select("node", F.lit(0.0).alias("betweenness"))
+
+
+def _add_shares(starts: np.ndarray, to: np.ndarray, source: int, total: np.ndarray, reached: np.ndarray) -> None:
+    """Add what each node carries of the shortest paths from one source. A level keeps its nodes and its links to the next level."""
+    paths, seen, share = np.zeros(len(total)), np.zeros(len(total), dtype=bool), np.zeros(len(total))
+    paths[source], seen[source] = 1, True
+    front, links = np.array([source]), []
+    while len(front):
+        sizes = starts[front + 1] - starts[front]
+        at = np.repeat(np.arange(len(front)), sizes)
+        ends = to[np.arange(len(at)) + np.repeat(starts[front] - np.cumsum(sizes) + sizes, sizes)]
+        new = ~seen[ends]
+        at, ends = at[new], ends[new]
+        links.append((front, at, ends))
+        after, place = np.unique(ends, return_inverse=True)
+        paths[after] = np.bincount(place, paths[front][at], len(after))
+        seen[after] = True
+        front = after
+    for front, at, ends in reversed(links):
+        share[front] += np.bincount(at, paths[front][at] / paths[ends] * (1 + share[ends]), len(front))
+    share[source], seen[source] = 0, False
+    total += share
+    reached |= seen
+
+
+def _joined_searches(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    spark = pairs.sparkSession
     level = stored(spark, sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")), "level")
     seen = level.select("s", "node")
     found = [level]

@@ -451,6 +451,13 @@ def pagerank(spark, sf_dir, store):
     return graph.pagerank(stored(spark, graph.edges(store), "edges"), nodes, rounds=3).withColumn("pagerank", F.round("pagerank", 9))
 
 
+@registered("G7_pagerank_converged")
+def converged_pagerank(spark, sf_dir, store):
+    """The ranks as they settle, of all live entities over all edges; G7_pagerank states the plain round."""
+    nodes = store.entities.where("merged_into IS NULL").select(F.col("id").alias("node"))
+    return graph.pagerank(stored(spark, graph.edges(store), "edges"), nodes)
+
+
 @registered("G8_betweenness")
 def betweenness(spark, sf_dir, store):
     """Exact, of all nodes over all edges: searches from every node, so the work is nodes times edges."""

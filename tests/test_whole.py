@@ -44,6 +44,20 @@ def brute_labels(pairs):
         before, last = last, now
 
 
+def test_converged_query(spark, whole):
+    """The query's ranks solve the equations of the fixture's graph, parallel edges and all live entities counted."""
+    names = sorted(r.id for r in whole.entities.collect())
+    at, n = {x: i for i, x in enumerate(names)}, len(names)
+    links = np.zeros((n, n))
+    for a, _, b in EDGES:
+        links[at[b], at[a]] += 1
+        links[at[a], at[b]] += 1
+    degree = links.sum(axis=0)
+    exact = np.linalg.solve(np.eye(n) - 0.85 * np.where(degree > 0, links / np.maximum(degree, 1), 1 / n), np.full(n, 0.15 / n))
+    got = {r.node: r.pagerank for r in catalog.converged_pagerank(spark, "", whole).collect()}
+    assert got == pytest.approx(dict(zip(names, exact, strict=True)), abs=1e-7)
+
+
 def test_labels_settle(spark):
     pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)]  # the least label takes a round for each hop
     pairs += [(f"l{i}", f"r{j}") for i in range(4) for j in range(4)]
@@ -106,6 +120,17 @@ def test_betweenness_of_all(spark, whole):
     assert got == pytest.approx(brute_betweenness([(s, o) for s, _, o in EDGES]))
 
 
+def test_betweenness_by_joins(spark, whole):
+    """Beyond the pairs that a task may hold, the same of all nodes and of a sample."""
+    e = graph.edges(whole)
+    some = spark.createDataFrame([("order:1",), ("region:0",), ("order:1",), ("nobody",)], "node string")
+    for sources in (None, some):
+        held, joined = ({r.node: r.betweenness for r in graph.betweenness(e, sources, n).collect()} for n in (graph.HELD_PAIRS, 0))
+        assert held == pytest.approx(joined)
+    empty = edge_rows(spark, [("x", "x")])
+    assert not graph.betweenness(empty).collect() and not graph.betweenness(empty, None, 0).collect()
+
+
 def test_betweenness_of_long_paths(spark):
     pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(53)]
     got = {r.node: r.betweenness for r in graph.betweenness(edge_rows(spark, pairs), spark.createDataFrame([("n00",)], "node string")).collect()}
