@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofact.llm import chat, decontam, packing, quality, secrets, simhash, tokenfile, toxicity, urlrules, warc
+from chronofact.llm import chat, decontam, negatives, packing, quality, repair, secrets, shards, simhash, tokenfile, toxicity, urlrules, warc
 from chronofact.llm.text import named
 
 
@@ -72,10 +72,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = named(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_simhash_near_dedup, op2_token_binary, op3_decontamination, op4_warc, op5_url_filters, op6_best_fit_packing,
-        op7_chat_formatting, op8_toxicity, op9_secret_scans, op10_quality_rules,
+        op7_chat_formatting, op8_toxicity, op9_secret_scans, op10_quality_rules, op11_hard_negatives, op12_conversation_repair, op13_sharding,
     ]
     return {f.__name__: f for f in found}
 
@@ -132,7 +146,18 @@ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'a
 count(*) FILTER (role = 'assistant') AS n_examples FROM s GROUP BY conv_id
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can state a result; the other operators are tested against brute force."""
-    return {"op3_decontamination": OP3, "op4_warc": OP4, "op5_url_filters": OP5, "op7_chat_formatting": OP7}
+    return {"op3_decontamination": OP3, "op4_warc": OP4, "op5_url_filters": OP5, "op7_chat_formatting": OP7, "op11_hard_negatives": OP11}
