@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.model import Store
-from chronofact.operators import filters, registry, resolve
+from chronofact.operators import filters, modularity, registry, resolve
 from chronofact.session import stored
 
 
@@ -313,11 +313,18 @@ def _joined_searches(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return total.groupBy("node").agg((F.sum("share") / 2).alias("betweenness"))
 
 
-def communities(e: DataFrame) -> DataFrame:
-    """node, community, settled by label propagation (Raghavan 2007) on the simple graph: all nodes at once take the commonest label among
-    their neighbours and themselves, the least of equals. Ends when nothing changes, or when the labels are those of two rounds ago: votes
+METHODS = ("label_propagation", "modularity")
+
+
+def communities(e: DataFrame, method: str = "label_propagation", multigraph: bool = False) -> DataFrame:
+    """node, community, settled of all nodes with an edge to another. modularity: see modularity.communities, where parallel edges add up in
+    a multigraph and all nodes are settled. label_propagation (Raghavan 2007), always on the simple graph: all nodes at once take the
+    commonest label among their neighbours and themselves, the least of equals. Ends when nothing changes, or when the labels are those of two rounds ago: votes
     are symmetric, so no longer cycle exists (Poljak and Sura 1983) and one of the two comes. Nodes that then go back and forth between
     two labels have settled = false and the lesser of them."""
+    filters.known(method, list(METHODS), "method")
+    if method == "modularity":
+        return modularity.communities(modularity.weighted(e, simple=not multigraph)).withColumn("settled", F.lit(True))
     spark = e.sparkSession
     pairs = stored(spark, both_ways(e).where("a <> b"), "pairs")
     labels = pairs.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("community"), F.col("node").alias("before"))
@@ -333,10 +340,12 @@ def communities(e: DataFrame) -> DataFrame:
         labels = fresh.select("node", "community", F.col("last").alias("before"))
 
 
-def clusters(e: DataFrame, min_size: int = 2, member_limit: int = 50) -> DataFrame:
+def clusters(e: DataFrame, min_size: int = 2, member_limit: int = 50, method: str = "label_propagation") -> DataFrame:
     """community, size, members (the first by id, member_limit at most), total: communities of min_size or more; total counts all.
     Members are numbered within their community, so none is collected whole."""
-    found = communities(e)
+    if min_size < 1 or member_limit < 1:
+        raise ValueError("min_size and member_limit must be 1 at least")
+    found = communities(e, method)
     sizes = found.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
     total = sizes.agg(F.count("*").alias("total"))
     few = found.withColumn("k", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("k") <= member_limit)
@@ -344,13 +353,13 @@ def clusters(e: DataFrame, min_size: int = 2, member_limit: int = 50) -> DataFra
     return sizes.where(F.col("size") >= min_size).join(members, "community").crossJoin(F.broadcast(total)).drop("first")  # one row
 
 
-def metrics(store: Store, old: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
-    """The graph metrics of all entities that aren't merged away: community, settled (see communities), pagerank (converged, unless
+def metrics(store: Store, old: DataFrame | None = None, rounds: int | None = None, method: str = "label_propagation") -> DataFrame:
+    """The graph metrics of all entities that aren't merged away: community, settled (see communities; of the multigraph), pagerank (converged, unless
     rounds are given), community_rank, degree, and the x, y that an earlier run had."""
     spark = store.statements.sparkSession
     e = stored(spark, edges(store), "edges")
     nodes = store.entities.where("merged_into IS NULL").select(F.col("id").alias("node"))
-    out = nodes.join(pagerank(e, nodes, rounds), "node").join(communities(e), "node", "left")
+    out = nodes.join(pagerank(e, nodes, rounds), "node").join(communities(e, method, multigraph=True), "node", "left")
     out = out.join(degrees(e, 2).withColumnRenamed("id", "node"), "node", "left")
     out = out.withColumn("community", F.coalesce("community", "node")).withColumn("settled", F.coalesce("settled", F.lit(True))).withColumn("degree", F.coalesce("degree", F.lit(0)))
     out = community_ranks(out)

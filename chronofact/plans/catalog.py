@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact import model
-from chronofact.operators import filters, graph, history, match, query, registry, resolve, write
+from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, write
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import stored
@@ -469,6 +469,25 @@ def clusters(spark, sf_dir, store):
     return graph.clusters(stored(spark, graph.edges(store), "edges"))
 
 
+@registered("G9_clusters_modularity")
+def modularity_clusters(spark, sf_dir, store):
+    """Communities of high modularity over all edges."""
+    return graph.clusters(stored(spark, graph.edges(store), "edges"), method="modularity")
+
+
+@registered("G9_modularity", sql("""SELECT round(sum(inside) / max(m) - sum((total / m) * (total / m)), 9) AS modularity FROM (SELECT ca, sum(CASE WHEN ca = cb THEN 1 ELSE 0 END)::DOUBLE AS inside, count(*)::DOUBLE AS total,
+    sum(count(*)) OVER ()::DOUBLE AS m FROM (SELECT coalesce(x.home, a) AS ca, coalesce(y.home, b) AS cb FROM ends LEFT JOIN home x ON x.id = a LEFT JOIN home y ON y.id = b) GROUP BY 1)""",
+    ends="SELECT src AS a, dst AS b FROM edge WHERE src <> dst UNION ALL SELECT dst, src FROM edge WHERE src <> dst",
+    home="SELECT src AS id, min(dst) AS home FROM edge WHERE predicate_id IN ('located_in', 'placed_by') GROUP BY 1"))
+def modularity_of_homes(spark, sf_dir, store):
+    """Of a given partition: agents with their nation, orders with their customer, all others alone."""
+    e = stored(spark, graph.edges(store), "edges")
+    links = modularity.weighted(e)
+    home = e.where(F.col("predicate_id").isin("located_in", "placed_by")).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("home"))
+    members = links.select(F.col("a").alias("node")).distinct().join(home, "node", "left").select("node", F.coalesce("home", "node").alias("community"))
+    return modularity.modularity(links, members).withColumn("modularity", F.round("modularity", 9))
+
+
 @registered("G10_metrics")
 def metrics(spark, sf_dir, store):
     return graph.metrics(store)
