@@ -105,9 +105,11 @@ KEYS = {"predicate_id", "object_id", "subject_id", "value_text", "min_confidence
 
 
 def members(store: Store, where: dict, on: str) -> DataFrame:
+    """id: who or what the visible statements with these filters are about. Merged ids stand for their entity, unknown ones are errors."""
     if odd := set(where) - KEYS:
         raise ValueError(f"unknown filters: {', '.join(sorted(odd))}")
     registry.known_predicates(store.predicates, [where["predicate_id"]] if "predicate_id" in where else [])
+    where = where | {c: resolve.canonical_inputs(store, [where[c]])[0] for c in ("subject_id", "object_id") if c in where}
     said = store.statements.where(filters.visible(where.get("valid_at"), None, None, where.get("min_confidence")))
     for c in ("predicate_id", "object_id", "subject_id", "value_text"):
         if c in where:

@@ -22,8 +22,10 @@ def money(c: Column | str) -> Column:
 
 
 def matching(store: Store, subject=None, predicate=None, object=None, value_text=None, min_confidence=None, rank=None, valid_at=None, system_at=None) -> DataFrame:  # noqa: A002
-    """Statements that meet all filters that are given. An unknown predicate is an error."""
+    """Statements that meet all filters that are given. A subject or object that was merged away stands for the entity it went into; an
+    unknown one, or an unknown predicate, is an error."""
     registry.known_predicates(store.predicates, [] if predicate is None else [predicate])
+    subject, object = (None if x is None else resolve.canonical_inputs(store, [x])[0] for x in (subject, object))  # noqa: A001
     said = store.statements.where(filters.visible(valid_at, system_at, rank, min_confidence))
     for column, value in (("subject_id", subject), ("predicate_id", predicate), ("object_id", object), ("value_text", value_text)):
         if value is not None:
@@ -57,9 +59,10 @@ def list_statements(store: Store, output: str = "compact", limit: int = 100, off
 
 
 def nested(store: Store, said: DataFrame) -> DataFrame:
-    """said with qualifiers and sources as arrays, by one join each."""
-    quals = store.qualifiers.groupBy("statement_id").agg(F.sort_array(F.collect_list(F.struct("predicate_id", "value_number", "value_unit"))).alias("qualifiers"))
-    refs = store.references.join(store.sources, F.col("source_id") == F.col("id")).groupBy("statement_id")
+    """said with qualifiers and sources as arrays, by one join each. Only the children of said are grouped."""
+    own = said.select(F.col("id").alias("statement_id"))
+    quals = store.qualifiers.join(own, "statement_id", "left_semi").groupBy("statement_id").agg(F.sort_array(F.collect_list(F.struct("predicate_id", "value_number", "value_unit"))).alias("qualifiers"))
+    refs = store.references.join(own, "statement_id", "left_semi").join(store.sources, F.col("source_id") == F.col("id")).groupBy("statement_id")
     refs = refs.agg(F.sort_array(F.collect_list(F.struct("source_id", "activity", "retrieved_at"))).alias("references"))
     out = said.join(quals.withColumnRenamed("statement_id", "id"), "id", "left")
     return out.join(refs.withColumnRenamed("statement_id", "id"), "id", "left")

@@ -176,7 +176,9 @@ def resolve(store: Store, rows: DataFrame, identifying: str = "name", least: flo
 
 
 def get_or_create(store: Store, rows: DataFrame) -> DataFrame:
-    """ref, id, created: a match by identifier or label, a vector of 0.93 or more, else a new id made from type and label."""
+    """ref, id, created: a match by identifier or label, a vector of 0.93 or more, else a new id, the same for rows of the batch that share
+    type and label in any case. A row without a label has an id of its own, made from its ref: what has no name is nobody else."""
     found = resolve(store, rows, least=AUTOMATIC)
-    fresh = F.concat(F.lit("new:"), F.sha1(F.concat_ws("|", "type_id", F.lower("label"))))
+    named = F.length(F.trim("label")) > 0
+    fresh = F.concat(F.lit("new:"), F.sha1(F.concat_ws("|", "type_id", F.when(named, F.lower("label")).otherwise(F.concat(F.lit("\0"), F.col("ref").cast("string"))))))
     return found.join(rows, "ref").select("ref", F.coalesce("id", fresh).alias("id"), F.col("id").isNull().alias("created"))
