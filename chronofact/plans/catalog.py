@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact import model
-from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, write
+from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, stored_graph, write
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
-from chronofact.session import stored
-from chronofact.sources import ingest
+from chronofact.session import new_folder, stored
+from chronofact.sources import ingest, log
 from chronofact.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,6 +367,14 @@ def neighborhood(spark, sf_dir, store):
     return graph.neighborhood(store, "customer:1", 2, max_nodes=40)[0]
 
 
+@registered("G1_stored_neighborhood", _SQL["G1_neighborhood"])
+def stored_neighborhood(spark, sf_dir, store):
+    """The same from a stored graph, which a service would keep between requests."""
+    stock = stored_graph.GraphStore(spark, new_folder(spark, "graph"))
+    stock.build(store)
+    return stock.neighborhood("customer:1", 2, max_nodes=40)[0]
+
+
 @registered("G1_induced_edges", sql("SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT node FROM l2) AND e.dst IN (SELECT node FROM l2)", **_bfs("customer:1", 2)))
 def induced_edges(spark, sf_dir, store):
     return graph.neighborhood(store, "customer:1", 2, max_nodes=1_000_000)[1].select("id", "src", "dst")
@@ -498,6 +506,14 @@ def skeleton(spark, sf_dir, store):
     return graph.skeleton(stored(spark, graph.metrics(store), "metrics"))
 
 
+@registered("G11_stored_skeleton")
+def stored_skeleton(spark, sf_dir, store):
+    """The edges among the nodes to draw, from stored metrics."""
+    stock = stored_graph.GraphStore(spark, new_folder(spark, "graph"))
+    stock.recompute(store)
+    return stock.skeleton()[1].select("id", "src", "dst")
+
+
 @registered("G12_snapshot", sql("""SELECT e.id, e.src, e.dst FROM edge e WHERE e.src IN (SELECT id FROM top) AND e.dst IN (SELECT id FROM top)""",
     top="SELECT id FROM (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) JOIN ent USING (id) ORDER BY degree DESC, created_at DESC, id LIMIT 200"))
 def snapshot(spark, sf_dir, store):
@@ -633,6 +649,73 @@ def mixed_commit(spark, sf_dir, store):
     return write.plan_commit(store, _candidates(spark, sf_dir).unionByName(names)).select("ord", "outcome")
 
 
+def _said(spark, rows: DataFrame, ord_: str, **given) -> DataFrame:
+    """Candidates from rows of statements, with some columns replaced."""
+    columns = "subject_id predicate_id value_type object_id value_text value_number value_unit value_datetime valid_from valid_to".split()
+    own = {c: given.get(c, F.col(c)) for c in columns}
+    return rows.select(F.expr(ord_).cast("long").alias("ord"), *[v.alias(c) for c, v in own.items()], F.lit("normal").alias("rank"), F.lit(1.0).alias("confidence"), F.lit("src:master").alias("source_id"))
+
+
+@registered("V3_commit_rules", sql(f"""SELECT ord, outcome FROM (
+    SELECT k * 1000 + n * 10 + 1 AS ord, CASE WHEN kept > 0 THEN 'reconfirm' WHEN row_number() OVER (PARTITION BY subject_id, object_id, valid_from ORDER BY n) = 1 THEN 'insert' ELSE 'reconfirm' END AS outcome
+    FROM (SELECT *, count(*) FILTER (rank <> 'deprecated') OVER (PARTITION BY subject_id, object_id, valid_from) AS kept FROM said WHERE predicate_id = 'supplied_by')
+    UNION ALL SELECT k * 1000 + n * 10 + 2, CASE WHEN row_number() OVER (PARTITION BY subject_id, object_id, valid_from ORDER BY n) = 1 THEN 'insert' ELSE 'reconfirm' END FROM said WHERE predicate_id = 'contains'
+    UNION ALL SELECT -s_suppkey * 10 - 3, 'reconfirm' FROM supplier
+    UNION ALL SELECT -c_custkey * 10 - 4, CASE WHEN EXISTS (SELECT 1 FROM customer y WHERE y.c_custkey = root AND y.c_nationkey = x.c_nationkey) THEN 'reconfirm'
+        WHEN row_number() OVER (PARTITION BY root, c_nationkey ORDER BY c_custkey DESC) = 1 THEN 'insert' ELSE 'reconfirm' END
+        FROM (SELECT *, c_custkey - (c_custkey % 100 - 97) AS root FROM customer WHERE c_custkey % 100 >= 98) x
+    UNION ALL SELECT o_orderkey * 1000 + 5, CASE WHEN o_orderkey % 2 = 0 THEN 'insert' ELSE 'reconfirm' END FROM orders)""",
+    said="SELECT *, CAST(split_part(id, '|', 3) AS BIGINT) AS n, CAST(split_part(subject_id, ':', 2) AS BIGINT) AS k FROM stmt WHERE predicate_id IN ('supplied_by', 'contains') AND system_to IS NULL"))
+def commit_rules(spark, sf_dir, store):
+    """Everything that is open is said again: of lines without qualifiers those that are only deprecated are new; of lines with qualifiers none
+    is confirmed by the store; names of suppliers are confirmed in another window; merged customers stand for others; a status with a
+    qualifier is new."""
+    now = store.statements.where("system_to IS NULL")
+    k, n = "CAST(split_part(subject_id, ':', 2) AS BIGINT)", "CAST(split_part(id, '|', 3) AS BIGINT)"
+    moved = F.lit("1994-01-01 00:00:00").cast("timestamp_ntz")
+    rows = [
+        _said(spark, now.where("predicate_id = 'supplied_by'"), f"{k} * 1000 + {n} * 10 + 1"),
+        _said(spark, now.where("predicate_id = 'contains'"), f"{k} * 1000 + {n} * 10 + 2"),
+        _said(spark, now.where("predicate_id = 'name' AND subject_id LIKE 'supplier:%'"), f"-{k} * 10 - 3", valid_from=moved),
+        _said(spark, now.where(f"predicate_id = 'located_in' AND subject_id LIKE 'customer:%' AND {k} % 100 >= 98"), f"-{k} * 10 - 4"),
+        _said(spark, now.where("predicate_id = 'status'"), f"{k} * 1000 + 5"),
+    ]
+    quals = now.where(f"predicate_id = 'status' AND {k} % 2 = 0").select(F.expr(f"{k} * 1000 + 5").alias("ord"), F.lit("quantity").alias("predicate_id"), F.lit(1.0).alias("value_number"), F.lit(None).cast("string").alias("value_unit"))
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return write.plan_commit(store, out, quals).select("ord", "outcome")
+
+
+@registered("S14_written_store", """SELECT 'supplier:' || s_suppkey AS subject_id, p AS predicate_id, rank, current FROM supplier, (VALUES ('located_in', 'normal', TRUE, 9), ('name', 'normal', TRUE, 0), ('name', 'normal', FALSE, 1), ('name', 'deprecated', TRUE, 1)) v(p, rank, current, k)
+    WHERE k = 9 OR k = CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END""")
+def written_store(spark, sf_dir, store):
+    """Suppliers' names and places committed in three batches, one of them twice; a fifth of the names withdrawn; then compacted."""
+    out = log.Log(spark, new_folder(spark, "log"))
+    alive = store.entities.where(F.col("type_id").isin("Supplier", "Nation"))
+    out.append("entities", {"entities": alive, "sources": store.sources.where("id = 'src:master'")}, 0)
+    rows = store.statements.where("subject_id LIKE 'supplier:%' AND predicate_id IN ('name', 'located_in')")
+    key = "CAST(split_part(subject_id, ':', 2) AS BIGINT)"
+    said = _said(spark, rows, f"{key} * 2 + IF(predicate_id = 'name', 1, 0)")
+    for batch in (0, 1, 0, 2):
+        log.commit(out, store, said.where(F.expr(f"{key} % 3 = {batch}")), "1996-01-01 00:00:00", f"batch {batch}")
+    names = out.rows("statements").where(F.expr(f"predicate_id = 'name' AND {key} % 5 = 0"))
+    log.close(out, store, names.select("id", F.lit("deprecated").alias("rank"), F.lit(None).cast("double").alias("confidence")), "1997-01-01 00:00:00", "withdrawn")
+    out.compact()
+    return out.rows("statements").select("subject_id", "predicate_id", "rank", F.col("system_to").isNull().alias("current"))
+
+
+@registered("X4_list_merged", sql(f"SELECT id, subject_id, predicate_id FROM stmt WHERE {VISIBLE} AND object_id = 'customer:97'"))
+def list_merged(spark, sf_dir, store):
+    """What is said of an entity, asked for by an id that went into it over two steps."""
+    return query.matching(store, object="customer:99").select("id", "subject_id", "predicate_id")
+
+
+@registered("X4_set_merged", sql(f"SELECT subject_id AS id FROM stmt WHERE {VISIBLE} AND object_id = 'customer:97' INTERSECT SELECT subject_id FROM stmt WHERE {VISIBLE} AND predicate_id = 'contains'"))
+def set_merged(spark, sf_dir, store):
+    return match.set_operation(store, "intersect", [{"object_id": "customer:98"}, {"predicate_id": "contains"}])
+
+
 @registered("V6_supersede", sql("""SELECT predicate_id, rank, system_to IS NULL AS current, count(*) AS n FROM (SELECT predicate_id, rank, CASE WHEN predicate_id = 'segment' AND system_to IS NULL THEN TIMESTAMP '2000-01-01' ELSE system_to END AS system_to
     FROM stmt UNION ALL SELECT predicate_id, 'deprecated', NULL FROM stmt WHERE predicate_id = 'segment' AND system_to IS NULL) WHERE predicate_id IN ('segment', 'name') GROUP BY ALL"""))
 def supersede(spark, sf_dir, store):
