@@ -37,7 +37,8 @@ _PART = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
 def character_class(s: str) -> str | None:
-    """hex, one_case, both_cases, or letters (of both cases, without a digit); None for what is digits or letters of one case."""
+    """hex, one_case, both_cases, or letters (of both cases, without a digit); None for what is digits or letters of one case, which
+    can't be told from long words and their initials."""
     lower, upper, digit = any("a" <= c <= "z" for c in s), any("A" <= c <= "Z" for c in s), any("0" <= c <= "9" for c in s)
     if lower and upper:
         return "both_cases" if digit else "letters"
@@ -46,25 +47,36 @@ def character_class(s: str) -> str | None:
     return "hex" if all(c in "0123456789abcdefABCDEF" for c in s) else "one_case"
 
 
+#: Characters that count up one by one, at least, in a run and in runs one after the other, to be an alphabet.
+RUN, ALPHABET = 5, 8
+
+
+def alphabets(s: str) -> list[tuple[int, int]]:
+    """Stretches of alphabets and counting: runs of five characters or more that each follow the one before, eight in all if runs are
+    joined."""
+    out, at = [], 0
+    for i in range(1, len(s) + 1):
+        if i < len(s) and ord(s[i]) - ord(s[i - 1]) == 1:
+            continue
+        if i - at >= RUN:
+            if out and out[-1][1] == at:
+                out[-1] = (out[-1][0], i)
+            else:
+                out.append((at, i))
+        at = i
+    return [(a, b) for a, b in out if b - a >= ALPHABET]
+
+
 def allowed(s: str) -> list[tuple[int, int]]:
-    """Stretches of a candidate that look random and are no secrets: UUIDs and sample keys. What stands beside them is scanned."""
-    out = [m.span() for m in UUID.finditer(s)]
+    """Stretches of a candidate that look random and are no secrets: UUIDs, sample keys and alphabets. What stands beside them is scanned."""
+    out = [m.span() for m in UUID.finditer(s)] + alphabets(s)
     for x in SAMPLES:
         out += [(m.start(), m.end()) for m in re.finditer(re.escape(x), s)]
     return sorted(out)
 
 
 def ordinary(s: str) -> bool:
-    """Alphabets and counting (half of it in runs of five or more), and words or numbers joined by marks."""
-    run, total = 1, 0
-    for a, b in zip(s, [*s[1:], ""], strict=True):
-        if b and ord(b) - ord(a) == 1:
-            run += 1
-        else:
-            total += run * (run >= 5)
-            run = 1
-    if 2 * total >= len(s):
-        return True
+    """Words or numbers joined by marks, and nothing else."""
     return all(WORDLIKE.fullmatch(w) for w in re.split(r"[/_=+-]+", s) if w)
 
 

@@ -84,7 +84,9 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _tail(self, text: str) -> list[int]:
-        """Ids of a run of marks, which is a piece of its own to the tokenizer."""
+        """Ids of a run of marks, which is a piece of its own to the tokenizer. Up to a thousand short runs are remembered."""
+        if len(text) > LONGEST:
+            return self._by_library([text])[0]
         if text not in self.tails:
             if len(self.tails) > 1000:
                 self.tails.clear()

@@ -52,13 +52,23 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     rows = named(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")
     )
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("_row", F.monotonically_increasing_id())
-    rank = F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"), F.col("_row").alias("r"))
-    first = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min(rank).alias("f"), F.count("*").alias("k")).where("k > 1")
-    first = stored(spark, first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.r").alias("first_row")), "warc-repeated")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    own = F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.coalesce("url", F.lit("")).alias("u"))
+    large = F.octet_length("payload") >= LEAST
+    alike = rows.where(large).groupBy("digest", own.alias("f")).agg(F.count("*").alias("c"))
+    first = alike.groupBy("digest").agg(F.min(F.struct("f.*", "c")).alias("f"), F.sum("c").alias("k")).where("k > 1")
+    first = stored(spark, first.select("digest", "f"), "warc-repeated")
+    if first.where("f.c > 1").limit(1).count():  # rows that are equal in all: written with numbers, of which the least is the response
+        rows = stored(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "warc-rows")
+        least = rows.join(first.select("digest", F.struct("f.n", "f.page_id", "f.u").alias("f")), "digest").where(own == F.col("f")).groupBy("digest").agg(F.min("_row").alias("first_row"))
+        first = stored(spark, first.join(least, "digest"), "warc-first")
+        is_first = F.col("_row") == F.col("first_row")
+    else:
+        is_first = own.getField("n").eqNullSafe(F.col("f.n")) & F.col("page_id").eqNullSafe(F.col("f.page_id")) & own.getField("u").eqNullSafe(F.col("f.u"))
     out = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left")
-    revisit = (F.octet_length("payload") >= LEAST) & (F.col("_row") != F.col("first_row"))
-    return out.withColumn("revisit", F.coalesce(revisit, F.lit(False))).withColumn("refers_to", F.when(F.col("revisit"), F.col("first_id"))).drop("first_id", "first_row", "_row")
+    revisit = F.coalesce(large & F.col("f").isNotNull() & ~is_first, F.lit(False))
+    out = out.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("f.page_id")))
+    return out.select("page_id", "url", "payload", "digest", "revisit", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, date: str, revisit: bool, refers_to: int | None) -> bytes:
@@ -97,6 +107,11 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+def captured(page_id: int | None) -> datetime.datetime:
+    """The capture time that stands for a page: its id in seconds after the start of 2024, over again after 2 ** 32 of them."""
+    return datetime.datetime.fromtimestamp(EPOCH + (page_id or 0) % 2**32, datetime.UTC)
+
+
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write pages as archives; returns the lines of the index, a sorted run for each archive (column path).
 
@@ -116,7 +131,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
         with store.open_output_stream(tmp) as f:
             for b in batches:
                 for r in b.to_pylist():
-                    stamp = datetime.datetime.fromtimestamp(EPOCH + (r["page_id"] or 0), datetime.UTC)
+                    stamp = captured(r["page_id"])
                     data = gzip_member(record(r["page_id"], r["url"], r["payload"], r["digest"], stamp.strftime("%Y-%m-%dT%H:%M:%SZ"), r["revisit"], r["refers_to"]))
                     f.write(data)
                     lines.append((r["url_key"], stamp.strftime("%Y%m%d%H%M%S"), r["page_id"], f"{folder}/{name}", at, len(data), "revisit" if r["revisit"] else "response"))

@@ -37,6 +37,19 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_one_response_for_each_digest_whatever_reads_it(spark, copies):
+    rows = [(i, f"http://a.org/{i % 5}", f"page {i % 50} " * 30) for i in range(400)] * copies + [(10**12, "u", "x" * 200), (-(10**11), "u", "y" * 200), (2**63 - 1, None, "z"), (-(2**63), None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    marked = warc.mark_revisits(pages)
+    for columns in (["digest", "revisit"], ["digest", "revisit", "url", "payload"]):
+        responses = marked.select(*columns).where("NOT revisit").groupBy("digest").count()
+        assert responses.where("count <> 1").count() == 0 and responses.count() == 54
+    got = warc.round_trip(pages).collect()
+    assert len(got) == len(rows) and sum(r.record_type == "response" for r in got) == 54
+    assert {r.refers_to for r in got if r.page_id is not None and 0 <= r.page_id < 400 and r.record_type == "revisit"} == set(range(50))
+
+
 def test_archives_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     """A task that runs again may get its rows in another order; what it writes is the same."""
     rows = [(i % 7, f"http://h{i % 3}.org/{i % 5}", "<p>" + "x" * (90 + i % 4 * 20)) for i in range(40)]

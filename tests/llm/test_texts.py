@@ -93,6 +93,11 @@ def test_entropy_and_allow_list():
     assert kinds("id 123e4567-e89b-12d3-a456-426614174000 abcdefghijklmnopqrstuvwxyz0123456789") == []
     assert kinds("see /usr/local/share/words/part/2024/file and internationalization_of_things_v2") == []
     assert kinds("x1" + "a" * 60) == []  # one character fills the window
+    for beside in ("abcdefghijklmnopqrstuvwxyz/", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ_", "abcde12345"):
+        key = "q7Rt9ZpLw2XvB8nM4kYc1HsD"
+        base, more = secrets.spans(f"see {beside}{key} there")
+        assert [m[1] for m in more] == [3] and more[0][0] >= 4 + len(beside) - 1 and more[0][2] == 4 + len(beside) + len(key)
+    assert kinds("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ and ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") == []
     assert kinds("an ordinary sentence with antidisestablishmentarianism in it") == []
     assert kinds("call DocumentFragmentFromTemplateContent or THIS_IS_A_LONG_CONSTANT_NAME_12") == []
 

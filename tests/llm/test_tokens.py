@@ -121,3 +121,15 @@ def test_pack(spark):
     joined = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packing.pack(docs, PATH)).collect()}
     assert sum(map(len, joined.values())) == 4 * sum(r.length for r in packed)
     assert packing.pack(documents(spark, []), PATH).count() == 0
+
+
+def test_memory_of_runs_of_marks_is_bounded():
+    """Long runs of marks are encoded, not remembered."""
+    encoder = tokens.Encoder(queries.vocabulary())
+    texts = [f"word{'!?.;:,'[i % 6] * (2000 + i)}" for i in range(60)]
+    for t in texts:
+        assert encoder._tail(t[4:]) == encoder._by_library([t[4:]])[0]
+    assert not encoder.tails
+    for i in range(1500):
+        encoder._tail("!" * (i % 60) + "?;"[i % 2] * 3)
+    assert len(encoder.tails) <= 1001
