@@ -125,7 +125,7 @@ def test_pack(spark):
 
 def test_memory_of_runs_of_marks_is_bounded():
     """Long runs of marks are encoded, not remembered."""
-    encoder = tokens.Encoder(queries.vocabulary())
+    encoder = tokens.Encoder(PATH)
     texts = [f"word{'!?.;:,'[i % 6] * (2000 + i)}" for i in range(60)]
     for t in texts:
         assert encoder._tail(t[4:]) == encoder._by_library([t[4:]])[0]
