@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact import model
-from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, stored_graph, write
+from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, stored_graph, vector_index, write
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import new_folder, stored
@@ -564,6 +564,14 @@ def nearest_vectors(spark, sf_dir, store):
     return resolve.nearest(asked, v, 5).select("query", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@registered("R2_nearest_index")
+def nearest_index(spark, sf_dir, store):
+    """The same by a stored index: about the nearest five of all vectors to each twentieth."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    return vector_index.VectorIndex.build(v).search(asked).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @registered("R3_semantic_search")
 def semantic_search(spark, sf_dir, store):
     return resolve.semantic_search(store, "NATION_1", "Place", 10)
@@ -858,6 +866,12 @@ def latest(spark, sf_dir, store):
     return jobs.latest(spark, f"{sf_dir}/events.parquet")
 
 
+@registered("T4_upsert", _SQL["T4_latest"])
+def upserted(spark, sf_dir, store):
+    """The same as upserts into a log, batch by batch."""
+    return jobs.upserted(spark, f"{sf_dir}/events.parquet").rows("users").select("user_id", "event_id", "event_type")
+
+
 @registered("T1_deduplicated", "SELECT DISTINCT event_id, event_type FROM events")
 def deduplicated(spark, sf_dir, store):
     return jobs.deduplicated(spark, f"{sf_dir}/events.parquet")

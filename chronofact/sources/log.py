@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +42,11 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Log:
+    """tables: the schema and the key columns of each; and, where the last version doesn't hold but the greatest of some columns, these."""
+
     spark: SparkSession
     path: str
+    tables: Mapping[str, tuple] = field(default_factory=lambda: TABLES)
 
     def _jvm(self):
         return self.spark._jvm.org.apache.hadoop.fs
@@ -100,7 +103,7 @@ class Log:
     def _write(self, tables: dict[str, DataFrame], version: int) -> dict[str, list[str]]:
         folders = {}
         for name, rows in tables.items():
-            schema, _ = TABLES[name]
+            schema = self.tables[name][0]
             columns = [c.split()[0] for c in schema.split(", ")]
             gone = F.col(GONE) if GONE in rows.columns else F.lit(False)
             folder = f"data/{name}/{uuid.uuid4().hex}"
@@ -122,7 +125,7 @@ class Log:
 
     def records(self, table: str, version: int | None = None) -> DataFrame:
         """All records of a table at a version, with the version that wrote them."""
-        schema = f"{TABLES[table][0]}, {VERSION} long, {GONE} boolean"
+        schema = f"{self.tables[table][0]}, {VERSION} long, {GONE} boolean"
         folders = [f for m in self._since_base(version) for f in m["folders"].get(table, [])]
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -131,9 +134,9 @@ class Log:
     def rows(self, table: str, version: int | None = None) -> DataFrame:
         """The rows that hold at a version: the last record of each key, unless it is gone. Tasks begin the aggregate before the shuffle."""
         records = self.records(table, version)
-        keys = TABLES[table][1]
+        keys, order = self.tables[table][1], [*self.tables[table][2:], [VERSION]][0]
         rest = [c for c in records.columns if c not in keys]
-        last = records.groupBy(*keys).agg(F.max_by(F.struct(*rest), VERSION).alias("r")).select(*keys, "r.*")
+        last = records.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, VERSION)).alias("r")).select(*keys, "r.*")
         return last.where(~F.col(GONE)).select(*[c for c in records.columns if c not in (VERSION, GONE)])
 
     def store(self, vocabulary: Store, version: int | None = None) -> Store:
@@ -146,7 +149,7 @@ class Log:
         """Write the rows that hold as a base of their own version, so that readers need one folder for each table."""
         version = self.version()
         batches = sorted({b for m in self._since_base() for b in m["batches"]})
-        tables = {t: self.rows(t, version) for t in TABLES}
+        tables = {t: self.rows(t, version) for t in self.tables}
         self._put(version + 1, {"base": True, "batches": batches, "folders": self._write(tables, version + 1)})
         return version + 1
 
@@ -160,7 +163,7 @@ class Log:
                 files.delete(self._path("manifests", f"{v:012d}.json"), False)
         named = {f for m in self._since_base() for fs in m["folders"].values() for f in fs}
         removed = 0
-        for table in TABLES:
+        for table in self.tables:
             folder = self._path("data", table)
             for s in files.listStatus(folder) if files.exists(folder) else []:
                 if f"data/{table}/{s.getPath().getName()}" not in named:

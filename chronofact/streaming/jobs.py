@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofact.operators.query import money
 from chronofact.session import new_folder
+from chronofact.sources.log import Log
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -58,3 +60,43 @@ def deduplicated(spark: SparkSession, path: str) -> DataFrame:
     """event_id, event_type: events once each, however often they are delivered within the watermark."""
     rows = events(spark, path).dropDuplicatesWithinWatermark(["event_id"])
     return written(rows.select("event_id", "event_type"), "deduplicated", "append")
+
+
+#: The present state of each user: of two records the later event holds, whichever came first.
+FEED = {"users": ("user_id long, event_id long, event_type string, ts timestamp_ntz", ["user_id"], ["ts", "event_id"])}
+
+
+def upserted(spark: SparkSession, path: str, folder: str | None = None, compact_every: int = 8, files_per_batch: int | None = None) -> Log:
+    """The change feed as a log of upserts: of each batch the last event of each user, added under the batch's number, so that a batch that is
+    repeated after a restart adds nothing. No state is kept between batches but the log, which is compacted every few of them. Late events
+    count by their time. folder: of the log and the stream's checkpoint, to go on from; fresh by default."""
+    folder = folder or new_folder(spark, "feed")
+    log = Log(spark, f"{folder}/log", FEED)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = reader.option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") else reader.parquet(path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch.where("user_id IS NOT NULL").groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "ts"), F.struct("ts", "event_id")).alias("e"))
+        log.append(f"batch {number}", {"users": last.select("user_id", "e.*")}, log.version())
+        if number % compact_every == compact_every - 1:
+            log.compact()
+            log.vacuum()
+
+    query = raw.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return log
+
+
+def closed_windows(spark: SparkSession, path: str, width: str = "1 day", late: str = "1 day") -> tuple[DataFrame, int]:
+    """start, event_type, n, total of the windows that the watermark has passed, each written once, and the number of rows that came too
+    late for theirs. State holds open windows alone."""
+    rows = events(spark, path, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), money("value").alias("total"))
+    rows = rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    out, marks = new_folder(spark, "closed"), new_folder(spark, "closed-log")
+    query = rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    return spark.read.schema(rows.schema).parquet(out), dropped
