@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofact.operators import filters
@@ -97,3 +97,50 @@ def review_types(proposals: DataFrame, types: DataFrame, interfaces_known: list[
         problem(F.size(odd) > 0, "unknown interface"),
     ))
     return rows.select("id", found.alias("problems"))
+
+
+#: What may be done with a proposal. A closed one (new or rejected) may be proposed; an open one amended, rejected or approved; an approved one is final.
+ACTIONS = ("propose", "amend", "reject", "approve")
+
+
+def transitions(events: DataFrame) -> DataFrame:
+    """events (proposal_id, seq, action, and any others) with legal, and the state after each: pending, amended, rejected, approved, or null
+    before any proposal. What isn't legal changes nothing, and is a row like any other, so the illegal ones are a report.
+
+    seq orders the events of a proposal. Whether a proposal is open before an event is told by the last of its proposals and rejections,
+    legal or not: one that is illegal repeats the state it finds. So no fold is needed, only windows."""
+    action = F.col("action")
+    of = Window.partitionBy("proposal_id").orderBy("seq", "action")
+    before = of.rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.withColumn("_open", F.coalesce(F.last(F.when(action.isin("propose", "reject"), action == "propose"), ignorenulls=True).over(before), F.lit(False)))
+    approves = (action == "approve") & F.col("_open")
+    rows = rows.withColumn("_final", F.coalesce(F.max(approves).over(before), F.lit(False)))
+    fits = F.when(action == "propose", ~F.col("_open")).when(action.isin(*ACTIONS), F.col("_open")).otherwise(False)
+    rows = rows.withColumn("legal", F.coalesce(fits & ~F.col("_final"), F.lit(False)))
+    after = F.when(F.col("legal"), F.when(action == "propose", "pending").when(action == "amend", "amended").when(action == "reject", "rejected").otherwise("approved"))
+    state = F.last(after, ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("state", state).drop("_open", "_final")
+
+
+def proposals(events: DataFrame, content: list[str]) -> DataFrame:
+    """proposal_id, status, decided_at (seq of the last legal rejection or approval, null while open), illegal (how many events were), and the
+    content as the last legal proposal or amendment has it, from events (proposal_id, seq, action and the columns of content)."""
+    rows = transitions(events)
+    legal = F.col("legal")
+    last = rows.groupBy("proposal_id").agg(
+        F.max_by("state", F.struct("seq", "action")).alias("status"), F.max(F.when(legal & F.col("action").isin("reject", "approve"), F.col("seq"))).alias("decided"),
+        F.max_by(F.struct(*content), F.when(legal & F.col("action").isin("propose", "amend"), F.struct("seq", "action"))).alias("c"), F.count_if(~legal).alias("illegal"),
+    )
+    decided = F.when(F.col("status").isin("rejected", "approved"), F.col("decided"))
+    return last.select("proposal_id", "status", decided.alias("decided_at"), "illegal", *[F.col(f"c.{c}").alias(c) for c in content])
+
+
+def approved_pairs(decided: DataFrame) -> DataFrame:
+    """Of proposals (proposal_id, status, inverse_id) the approved ones: proposal_id, inverse_id, approved. One with an inverse is approved only
+    together with it, and one that is named as an inverse has the one that names it filled in (the least of several)."""
+    own = decided.where("status = 'approved'").select("proposal_id", "inverse_id")
+    named = own.where("inverse_id IS NOT NULL").groupBy(F.col("inverse_id").alias("proposal_id")).agg(F.min("proposal_id").alias("back"))
+    rows = own.join(named, "proposal_id", "left").select("proposal_id", F.coalesce("inverse_id", "back").alias("inverse_id"))
+    there = own.select(F.col("proposal_id").alias("inverse_id"), F.lit(True).alias("there"))
+    rows = rows.join(there, "inverse_id", "left")
+    return rows.select("proposal_id", "inverse_id", (F.col("inverse_id").isNull() | F.coalesce("there", F.lit(False))).alias("approved"))

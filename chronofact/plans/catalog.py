@@ -16,7 +16,7 @@ from chronofact.operators import filters, graph, history, match, modularity, que
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import new_folder, stored
-from chronofact.sources import ingest, log
+from chronofact.sources import ingest, log, profiles
 from chronofact.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -975,3 +975,44 @@ def tool_log(spark, sf_dir, store):
 @registered("F8_vocabulary", "SELECT * FROM (VALUES ('1:1', 7), ('n:m', 5)) v(cardinality, n)")
 def compact_vocabulary(spark, sf_dir, store):
     return store.predicates.select("id", "cardinality").groupBy("cardinality").agg(F.count("*").alias("n"))
+
+
+PROPOSED = """SELECT user_id AS p, event_id AS seq, ts, value, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'amend' ELSE 'propose' END AS action FROM events"""
+OPENED = """SELECT *, coalesce(last_value(CASE WHEN action IN ('propose', 'reject') THEN action = 'propose' END IGNORE NULLS) OVER (PARTITION BY p ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS open FROM proposed"""
+ENDED = """SELECT *, coalesce(min(CASE WHEN action = 'approve' AND open THEN seq END) OVER (PARTITION BY p), 9223372036854775807) AS stop FROM opened"""
+JUDGED = """SELECT *, seq <= stop AND (CASE WHEN action = 'propose' THEN NOT open ELSE open END) AS legal FROM ended"""
+FOLDED = f"WITH proposed AS ({PROPOSED}), opened AS ({OPENED}), ended AS ({ENDED}), judged AS ({JUDGED})"
+
+
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as proposals: what they do amends, rejects or approves them."""
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "approve").when(kind == "error", "reject").when(kind == "click", "amend").otherwise("propose")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("proposal_id"), F.col("event_id").alias("seq"), action.alias("action"), "value")
+
+
+@registered("P6_transitions", f"""{FOLDED} SELECT p AS proposal_id, seq, action, legal, last_value(CASE WHEN legal THEN CASE action WHEN 'propose' THEN 'pending' WHEN 'amend' THEN 'amended' WHEN 'reject' THEN 'rejected' ELSE 'approved' END END IGNORE NULLS)
+    OVER (PARTITION BY p ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM judged""")
+def transitions(spark, sf_dir, store):
+    return registry.transitions(_proposed(spark, sf_dir)).select("proposal_id", "seq", "action", "legal", "state")
+
+
+@registered("P3_proposals", f"""{FOLDED}, l AS (SELECT p, max(CASE WHEN legal THEN seq END) AS last, arg_max(value, CASE WHEN legal AND action IN ('propose', 'amend') THEN seq END) AS value, count(*) FILTER (NOT legal) AS illegal FROM judged GROUP BY 1)
+    SELECT l.p AS proposal_id, CASE j.action WHEN 'propose' THEN 'pending' WHEN 'amend' THEN 'amended' WHEN 'reject' THEN 'rejected' WHEN 'approve' THEN 'approved' END AS status, CASE WHEN j.action IN ('reject', 'approve') THEN j.seq END AS decided_at,
+    l.illegal, l.value FROM l LEFT JOIN judged j ON j.p = l.p AND j.seq = l.last""")
+def proposals(spark, sf_dir, store):
+    return registry.proposals(_proposed(spark, sf_dir), ["value"])
+
+
+@registered("P5_approved_pairs", f"""{FOLDED}, a AS (SELECT DISTINCT p, CASE WHEN p % 3 = 0 THEN p + 1 END AS inv FROM judged WHERE legal AND action = 'approve')
+    SELECT a.p AS proposal_id, coalesce(a.inv, b.p) AS inverse_id, coalesce(a.inv, b.p) IS NULL OR coalesce(a.inv, b.p) IN (SELECT p FROM a) AS approved FROM a LEFT JOIN a b ON b.inv = a.p""")
+def approved_pairs(spark, sf_dir, store):
+    """Every third proposal names the next as its inverse."""
+    decided = registry.proposals(_proposed(spark, sf_dir), ["value"])
+    return registry.approved_pairs(decided.withColumn("inverse_id", F.when(F.col("proposal_id") % 3 == 0, F.col("proposal_id") + 1)))
+
+
+@registered("S12_profiles")
+def pasted_profiles(spark, sf_dir, store):
+    """Profiles of the pages that are lists, under the names that follow their links."""
+    return profiles.profile_lists(spark.read.parquet(f"{sf_dir}/pages.parquet"))[0]
