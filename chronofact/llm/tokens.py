@@ -26,7 +26,7 @@ ODD = "".join(map(chr, (0, *range(0x1C, 0x20))))
 SPACES = "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPACED = rf"[{SPACES}]|  |\n\n| \n|\n "
 #: Bytes of text that are cut into pieces at a time; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes of remembered pieces, over both generations.
 MEMORY = 32 << 20
 #: Marks that end a piece of letters and are a piece of their own to the tokenizer. No apostrophe: it may start a piece with letters.
