@@ -16,7 +16,7 @@ from chronofact.operators import filters, graph, history, match, modularity, que
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import new_folder, stored
-from chronofact.sources import ingest, log, profiles
+from chronofact.sources import files, ingest, log, profiles
 from chronofact.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1016,3 +1016,62 @@ def approved_pairs(spark, sf_dir, store):
 def pasted_profiles(spark, sf_dir, store):
     """Profiles of the pages that are lists, under the names that follow their links."""
     return profiles.profile_lists(spark.read.parquet(f"{sf_dir}/pages.parquet"))[0]
+
+
+# -- sources and their files
+
+
+def _page_store(spark: SparkSession, sf_dir: str) -> files.FileLog:
+    """Pages as sources, their html as files; then each third has a notice in place of it, and each sixth its own again. The second batch comes twice."""
+    out = files.open_files(spark, new_folder(spark, "files"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("ord", F.col("page_id"))
+    docs = pages.select("ord", F.to_json(F.struct("page_id", "url")).alias("raw"), "url", F.lit("crawl").alias("activity"), F.lit("crawler").alias("agent"), F.lit(None).cast("timestamp_ntz").alias("retrieved_at"))
+    said = files.ingest(out, docs, "2024-01-01 00:00:00", "pages").where("outcome = 'insert'").select("ord", "source_id")
+    own = stored(spark, said, "page-sources").join(pages, "ord")
+    file = lambda rows, content: rows.select("ord", "source_id", F.concat("page_id", F.lit(".html")).alias("filename"), F.lit("text/html").alias("mime"), content.cast("binary").alias("content"))
+    files.attach(out, file(own, F.col("html")), "2024-01-02 00:00:00", "first")
+    for _ in range(2):
+        files.attach(out, file(own.where("page_id % 3 = 0"), F.lit("moved")), "2024-01-03 00:00:00", "moved")
+    files.attach(out, file(own.where("page_id % 6 = 0"), F.col("html")), "2024-01-04 00:00:00", "back")
+    return out
+
+
+@registered("S8_sources", "SELECT 'src:' || sha1('pages|' || page_id) AS id, url, TIMESTAMP '2024-01-01' AS retrieved_at, 'crawl' AS activity, page_id FROM pages")
+def ingested_sources(spark, sf_dir, store):
+    """Pages as source documents, read back from the log."""
+    out = files.open_files(spark, new_folder(spark, "files"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    docs = pages.select(F.col("page_id").alias("ord"), F.to_json(F.struct("page_id", "url")).alias("raw"), "url", F.lit("crawl").alias("activity"), F.lit("crawler").alias("agent"), F.lit(None).cast("timestamp_ntz").alias("retrieved_at"))
+    files.ingest(out, docs, "2024-01-01 00:00:00", "pages")
+    return out.rows("sources").select("id", "url", "retrieved_at", "activity", F.get_json_object("raw", "$.page_id").cast("long").alias("page_id"))
+
+
+_HELD = """WITH p AS (SELECT page_id, html, coalesce(octet_length(encode(html)) BETWEEN 1 AND 5242880, FALSE) AS ok FROM pages),
+    f AS (SELECT page_id, ok, CASE WHEN page_id % 3 = 0 AND NOT (page_id % 6 = 0 AND ok) THEN 'moved' ELSE html END AS content FROM p WHERE ok OR page_id % 3 = 0)"""
+
+
+@registered("S9_files", _HELD + """ SELECT 'src:' || sha1('pages|' || page_id) AS source_id, page_id || '.html' AS filename, octet_length(encode(content))::BIGINT AS size_bytes,
+    sha256(content) AS sha256, CASE WHEN ok THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-01-03' END AS created_at FROM f""")
+def file_names(spark, sf_dir, store):
+    """What holds for each source after four batches, one of them twice."""
+    return files.meta(_page_store(spark, sf_dir)).drop("mime")
+
+
+@registered("S9_blobs", _HELD + " SELECT sha256(content) AS sha256, count(*) AS refs, octet_length(encode(any_value(content)))::BIGINT AS bytes FROM f GROUP BY 1")
+def file_contents(spark, sf_dir, store):
+    """Live contents after a compaction, with the bytes that are there and the sources that name them."""
+    out = _page_store(spark, sf_dir)
+    out.compact()
+    out.vacuum()
+    return out.rows("blobs").select("sha256", F.length("data").cast("long").alias("bytes")).join(files.held(out).select("sha256", "refs"), "sha256", "full")
+
+
+@registered("S10_reports", """WITH p AS (SELECT page_id, html, coalesce(octet_length(encode(html)), 0) AS size FROM pages), b AS (SELECT *, size BETWEEN 1 AND 5242880 AS ok FROM p)
+    SELECT batch, outcome, detail, count(*) AS n FROM (
+    SELECT 'pages' AS batch, 'insert' AS outcome, NULL AS detail FROM b
+    UNION ALL SELECT 'first', CASE WHEN ok THEN 'insert' ELSE 'reject' END, CASE WHEN size = 0 THEN 'empty file' WHEN NOT ok THEN 'too large' END FROM b
+    UNION ALL SELECT 'moved', CASE WHEN ok THEN CASE WHEN html = 'moved' THEN 'same' ELSE 'replace' END ELSE 'insert' END, NULL FROM b WHERE page_id % 3 = 0
+    UNION ALL SELECT 'back', CASE WHEN NOT ok THEN 'reject' WHEN html = 'moved' THEN 'same' ELSE 'replace' END, CASE WHEN size = 0 THEN 'empty file' WHEN NOT ok THEN 'too large' END FROM b WHERE page_id % 6 = 0) GROUP BY ALL""")
+def file_reports(spark, sf_dir, store):
+    """What the log says of each batch."""
+    return _page_store(spark, sf_dir).rows("reports").groupBy("batch", "outcome", "detail").agg(F.count("*").alias("n"))
