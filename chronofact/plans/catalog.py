@@ -16,7 +16,7 @@ from chronofact.operators import filters, graph, history, match, modularity, que
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import new_folder, stored
-from chronofact.sources import files, ingest, log, profiles
+from chronofact.sources import calls, files, ingest, log, profiles
 from chronofact.streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1075,3 +1075,53 @@ def file_contents(spark, sf_dir, store):
 def file_reports(spark, sf_dir, store):
     """What the log says of each batch."""
     return _page_store(spark, sf_dir).rows("reports").groupBy("batch", "outcome", "detail").agg(F.count("*").alias("n"))
+
+
+# -- results and calls
+
+
+@registered("U3_offload", """WITH r AS (SELECT doc_id, source, to_json(string_split(text, ' ')) AS content, len(string_split(text, ' ')) AS n FROM documents WHERE doc_id IS NOT NULL)
+    SELECT coalesce(source, '-') AS session, CAST(doc_id AS VARCHAR) AS call_id, coalesce(length(content) > 8000, FALSE) AS offloaded, CASE WHEN length(content) > 8000 THEN 'ref:' || sha1('words|' || coalesce(source, '-') || '|' || doc_id) END AS ref,
+    CASE WHEN length(content) > 8000 THEN 'list of ' || n || ' entries' END AS summary, length(content)::INT AS chars FROM r""")
+def offloaded(spark, sf_dir, store):
+    """The words of each document as a result: long ones are kept, and read back through their references."""
+    out = calls.open_calls(spark, new_folder(spark, "calls"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL")
+    told = calls.offload(out, docs.select(F.coalesce("source", F.lit("-")).alias("session"), F.col("doc_id").cast("string").alias("call_id"), F.to_json(F.split("text", " ")).alias("content")), "words")
+    kept = out.rows("results").select(F.concat(F.lit("ref:"), "id").alias("ref"), F.length("content").alias("kept"))
+    rows = told.join(kept, "ref", "left")
+    return rows.select("session", "call_id", "offloaded", "ref", "summary", F.coalesce("kept", F.length("content")).alias("chars"))
+
+
+def _event_calls(spark: SparkSession, sf_dir: str) -> calls.CallLog:
+    """Events as calls in two batches, the second of them twice; each fifth has long arguments."""
+    out = calls.open_calls(spark, new_folder(spark, "calls"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    args = F.when(F.col("event_id") % 5 == 0, F.to_json(F.struct("event_id", F.repeat(F.col("props"), F.lit(300)).alias("props")))).otherwise(F.col("props"))
+    given = rows.select(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("tool"), args.alias("args"), F.col("ts").cast("timestamp_ntz").alias("called_at"), F.round(F.col("value") * 100).cast("long").alias("duration_ms"),
+        F.when(F.col("value") < 5, "failed").alias("error"), F.col("props").alias("result"), F.col("user_id").cast("string").alias("token"),
+    )
+    for part in (0, 1, 1):
+        calls.log_calls(out, given.where(F.col("id").cast("long") % 2 == part), f"part {part}")
+    return out
+
+
+@registered("U6_call_log", """SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value < 5) AS errors, count(*) FILTER (event_id % 5 = 0 AND length(props) * 300 > 2048) AS cut,
+    avg(CAST(round(value * 100) AS BIGINT)) AS avg_ms, sum(octet_length(encode(props)))::BIGINT AS bytes FROM events GROUP BY 1""")
+def call_log(spark, sf_dir, store):
+    """Telemetry from the log as it is read back."""
+    return calls.telemetry(_event_calls(spark, sf_dir))
+
+
+@registered("U6_tokens", "SELECT substr(sha256(CAST(user_id AS VARCHAR)), 1, 12) AS token_hash, count(*) AS calls, max(ts) AS last FROM events GROUP BY 1")
+def call_tokens(spark, sf_dir, store):
+    """Calls by caller, who is known by a part of a hash."""
+    return _event_calls(spark, sf_dir).rows("calls").groupBy("token_hash").agg(F.count("*").alias("calls"), F.max("called_at").alias("last"))
+
+
+@registered("U6_quantiles")
+def call_quantiles(spark, sf_dir, store):
+    """Quantiles of durations from the sketches of all batches."""
+    found = calls.quantiles(_event_calls(spark, sf_dir), [0.5, 0.9, 0.99])
+    return found.select("tool", "n", F.posexplode("q").alias("place", "ms"))
