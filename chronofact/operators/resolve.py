@@ -84,6 +84,30 @@ def cosine(queries: DataFrame, vectors: DataFrame, least: float | None = None) -
     return found if least is None else found.where(F.col("similarity") >= least)
 
 
+def rare_parts(vectors: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
+    """key, dim: of sparse vectors of length one those dimensions that a pair of `least` or more must share one of. In an order of all
+    dimensions, the most frequent first, the entries before them have a norm below `least`; so if two vectors shared none but such,
+    or the rarest that they share were such in one of them, their product would be too small. counts (dim, n) has a row for each dimension."""
+    rows = vectors.join(F.broadcast(counts), "dim", "left")
+    w = Window.partitionBy(key).orderBy(F.desc(F.coalesce("n", F.lit(0))), "dim").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_norm", F.sum(F.col("w") * F.col("w")).over(w)).where(F.col("_norm") >= least * least - 1e-8).select(key, "dim")
+
+
+def similar(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """The rows of cosine(queries, vectors, least - 1e-9) without a join on all dimensions: pairs that share one of their rare dimensions are
+    found once each, and their products computed from both vectors. The allowance keeps those at the threshold, whatever the order of a
+    sum. Vectors have length one; least is above zero."""
+    spark = vectors.sparkSession
+    queries, vectors = queries.select("query", "dim", "w"), vectors.select("id", "dim", "w")
+    counts = vectors.groupBy("dim").agg(F.count("*").alias("n"))  # a row for each of the dimensions, which are 1,024
+    counts = stored(spark, counts, "dims")
+    pairs = rare_parts(queries, "query", counts, least).join(rare_parts(vectors, "id", counts, least), "dim").select("query", "id").distinct()
+    held = lambda df, key, name: df.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", "w")))).alias(name))
+    rows = pairs.join(held(queries, "query", "a"), "query").join(held(vectors, "id", "b"), "id")
+    product = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0)))
+    return rows.select("query", "id", product.alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -126,7 +150,7 @@ def _by_stage(store: Store, rows: DataFrame, identifying: str, least: float) ->
 
 
 def _by_vector(wanted: DataFrame, live: DataFrame, typed: DataFrame, least: float) -> DataFrame:
-    near = cosine(embed(wanted.withColumnRenamed("ref", "query"), "query", "label"), embed(live, "id", "label"), least).withColumnRenamed("query", "ref")
+    near = similar(embed(wanted.withColumnRenamed("ref", "query"), "query", "label"), embed(live, "id", "label"), least).withColumnRenamed("query", "ref")
     near = near.join(wanted.select("ref", "type_id"), "ref").join(typed.select("id", "type_id"), ["id", "type_id"], "left_semi")
     return near.select("ref", "id", F.lit(3).alias("stage"), "similarity")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofact import model
-from chronofact.operators import filters, graph, history, match, modularity, query, registry, resolve, stored_graph, vector_index, write
+from chronofact.operators import batch, filters, graph, history, match, modularity, query, registry, resolve, stored_graph, vector_index, write
 from chronofact.plans import sqlguard
 from chronofact.plans.reified import sql
 from chronofact.session import new_folder, stored
@@ -1125,3 +1125,37 @@ def call_quantiles(spark, sf_dir, store):
     """Quantiles of durations from the sketches of all batches."""
     found = calls.quantiles(_event_calls(spark, sf_dir), [0.5, 0.9, 0.99])
     return found.select("tool", "n", F.posexplode("q").alias("place", "ms"))
+
+
+# -- batches matched among themselves
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents that each name a supplier of theirs: even ones by the name in the store, others by one that isn't there, and some of these also by a
+    yard that ten suppliers share."""
+    t = model.tables(spark, sf_dir)
+    rows = t["lineitem"].select("l_orderkey", "l_suppkey").distinct().join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    rows = rows.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("ref"), F.col("l_suppkey").alias("s"), "s_name", (F.col("l_orderkey") % 50 == 0).alias("yard"))
+    odd = F.col("s") % 2 == 1
+    names = rows.select("ref", F.when(odd, F.concat(F.lit("Unlisted "), F.col("s").cast("string"))).otherwise(F.col("s_name")).alias("value"))
+    yards = rows.where(odd & F.col("yard")).select("ref", F.concat(F.lit("Yard "), F.floor(F.col("s") / 10).cast("string")).alias("value"))
+    said = names.unionByName(yards).select("ref", F.lit("name").alias("predicate_id"), "value")
+    return rows.select("ref", F.lit("Supplier").alias("type_id"), F.lit(None).cast("string").alias("label")), said
+
+
+_LINES = """WITH l AS (SELECT DISTINCT l_orderkey || '-' || l_suppkey AS ref, l_suppkey AS s, l_orderkey % 50 = 0 AS yard FROM lineitem), g AS (SELECT s, s % 2 = 0 AS known, bool_or(yard) AS y FROM l GROUP BY 1),
+    c AS (SELECT ref, s, known, yard, CASE WHEN y AND NOT known THEN 'y' || (s // 10) ELSE 's' || s END AS grp FROM l JOIN g USING (s)),
+    m AS (SELECT *, CASE WHEN known THEN 'supplier:' || s ELSE 'new:' || sha1('lines|' || min(ref) OVER (PARTITION BY grp)) END AS id FROM c)"""
+
+
+@registered("R6_batch", _LINES + " SELECT ref, id, CASE WHEN known THEN 'identifier:name' ELSE 'new' END AS method, NOT known AS created FROM m")
+def batch_matches(spark, sf_dir, store):
+    return batch.match_batch(store, *_lines(spark, sf_dir), "lines").select("ref", "id", "method", "created")
+
+
+@registered("R6_batch_statements", _LINES + " SELECT DISTINCT id AS subject_id, 'name' AS predicate_id, v AS value_text FROM (SELECT id, 'Unlisted ' || s AS v FROM m WHERE NOT known UNION ALL SELECT id, 'Yard ' || (s // 10) FROM m WHERE NOT known AND yard)")
+def batch_statements(spark, sf_dir, store):
+    """The identifiers that are written for what the batch creates."""
+    rows, said = _lines(spark, sf_dir)
+    matched = batch.match_batch(store, rows, said, "lines")
+    return batch.identifying(store, matched, said, "src:master").select("subject_id", "predicate_id", "value_text")
