@@ -32,8 +32,9 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontam.SLOP)
+    near = F.size("near_items").cast("long").alias("n_near"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *near)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +106,21 @@ iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FRO
 dg AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dl, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, i, n, item_id FROM dg JOIN iw USING (n, g)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
-found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dl LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1),
+dw AS (SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM dl),
+df AS (SELECT term, count(*) AS df FROM dw GROUP BY 1),
+own AS (SELECT item_id, n, len(w) AS total, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM ii),
+ow AS (SELECT item_id, n, total, pos AS a, list_sort(list(CASE WHEN df IS NOT NULL THEN {{'df': df, 'pos': pos}} END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), 'ASC', 'NULLS LAST') AS r
+FROM own LEFT JOIN df USING (term)),
+win AS (SELECT item_id, n, a, r[1].pos AS p1, r[2].pos AS p2 FROM ow WHERE a + n <= total AND r[1] IS NOT NULL),
+pl AS (SELECT DISTINCT item_id, p, term FROM (SELECT item_id, p1 AS p FROM win UNION ALL SELECT item_id, p2 FROM win) q JOIN own USING (item_id) WHERE q.p = own.pos),
+sh AS (SELECT doc_id, item_id, pos - p AS s, p FROM dw JOIN pl USING (term)),
+wn AS (SELECT win.item_id, n, a, p1, p2, count(*) AS k FROM win JOIN pl ON win.item_id = pl.item_id AND pl.p >= a AND pl.p < a + n WHERE p2 IS NOT NULL OR n = 1 GROUP BY ALL),
+nr AS (SELECT x.doc_id, wn.item_id FROM wn JOIN sh x ON x.item_id = wn.item_id AND x.p = p1 JOIN sh y ON y.doc_id = x.doc_id AND y.item_id = x.item_id AND abs(y.s - x.s) <= 8 AND y.p >= a AND y.p < a + n
+GROUP BY x.doc_id, wn.item_id, a, x.s, p2, k HAVING 5 * count(DISTINCT y.p) >= 4 * k AND (p2 IS NULL OR bool_or(y.p = p2))),
+ne AS (SELECT doc_id, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_ids FROM nr GROUP BY 1)
+SELECT doc_id, coalesce(n_near, 0) AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dl LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN ne USING (doc_id)
 """
 
 OP4 = """
