@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Callable
 
@@ -141,12 +142,30 @@ def _prefixes_sql() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+def _line_sql(line: str) -> tuple[str, str] | None:
+    """Verdict and condition on host || path of a line of the production list; None for lines that are no rules."""
+    if line.startswith("!") or "##" in line or line.endswith("$third-party"):
+        return None
+    verdict, line = ("allow", line[2:]) if line.startswith("@@") else ("block", line)
+    line = re.sub(r"^0\.0\.0\.0 (.*)", r"||\1^", line.removesuffix("$document"))
+    if line[0] == line[-1] == "/" and len(line) > 2:
+        return verdict, f"regexp_matches(host || path, '(?si){line[1:-1]}')"
+    parts = {"*": ".*", "^": r"([\x00-$&-,/:-@\[-\^`\{-\x7F]|\z)"}
+    start = r"^([^/]*\.)?" if line.startswith("||") else "^" if line.startswith("|") else ""
+    body = "".join(parts.get(c) or re.escape(c) for c in line.strip("|"))
+    return verdict, f"regexp_matches(host || path, '(?si){start}{body}{chr(92) + 'z' if line.endswith('|') else ''}')"
+
+
+def _lists_sql(verdict: str) -> str:
+    lines = [form.format(name) for name in urlrules.NAMES for form in urlrules.FORMS] + urlrules.LINES
+    own = [f"regexp_matches(host || path, '{expression}')" for _, v, expression, _ in urlrules.PATTERNS if v == verdict]
+    return " OR ".join(own + [r[1] for r in map(_line_sql, lines) if r and r[0] == verdict])
+
+
 OP5 = (
     "WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "') AS host, "
     "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages), r AS (SELECT *, " + _prefixes_sql() + " AS best FROM p) "
-    "SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN "
-    + " OR ".join(f"regexp_matches(host || path, '{expression}')" for _, verdict, expression, _ in urlrules.PATTERNS if verdict == "block")
-    + " THEN 'block' ELSE 'allow' END) AS verdict FROM r"
+    f"SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN {_lists_sql('allow')} THEN 'allow' WHEN {_lists_sql('block')} THEN 'block' ELSE 'allow' END) AS verdict FROM r"
 )
 
 OP7 = r"""

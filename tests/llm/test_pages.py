@@ -114,3 +114,60 @@ def test_index_finds_what_all_rules_would(spark, seed):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in urlrules.judge(pages, urlrules.rule_table(spark, [], patterns)).collect()}
     assert got == {i: "block" if any(p[2] in u for p in patterns) else "allow" for i, u in enumerate(urls)}
+
+
+def fits(rule, text):
+    """Whether a line of a list matches a lower-cased host and path: characters tried one after another."""
+    core, starts = rule.removeprefix("||") if rule.startswith("||") else rule.removeprefix("|"), range(len(text) + 1)
+    if rule.startswith("||"):
+        host_end = text.index("/") if "/" in text else len(text)
+        starts = [0] + [k + 1 for k in range(host_end) if text[k] == "."]
+    elif rule.startswith("|"):
+        starts = [0]
+    end = core.endswith("|")
+    core = core.removesuffix("|")
+
+    def at(i, k):
+        if i == len(core):
+            return not end or k == len(text)
+        if core[i] == "*":
+            return any(at(i + 1, j) for j in range(k, len(text) + 1))
+        if core[i] == "^" and k == len(text):
+            return at(i + 1, k)
+        if k == len(text):
+            return False
+        return (not (text[k].isalnum() or text[k] in "_-.%") if core[i] == "^" else core[i] == text[k]) and at(i + 1, k + 1)
+
+    return any(at(0, k) for k in starts)
+
+
+def test_lines_of_a_filter_list_are_those_of_brute_force(spark):
+    rng = random.Random(11)
+    letters = "abc"
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(1, 6)))
+    rules = {rng.choice(["", "", "|", "||"]) + "".join(word() + rng.choice(["*", "^", "/", ".", "-", "_", ""]) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", "|"]) for _ in range(150)}
+    rules = sorted(r for r in rules if not (r.startswith("/") and r.endswith("/")))
+    targets = sorted({".".join(word() for _ in range(2)) + rng.choice(["", ":80"]) + "".join("/" + rng.choice(["", "-", "_"]).join([word(), word()]) for _ in range(rng.randrange(3))) for _ in range(120)})
+    blocks, allows = rules[::2], rules[1::4]
+    lines = spark.createDataFrame([(x,) for x in [*blocks, *blocks[:3], *["@@" + x for x in allows], None, "", "! note", "x.org##.ad", "||abc.$script", "*", "||", "|http://a", "/a?b"]], "value string")
+    parsed = urlrules.parse_list(lines)
+    assert {r["name"]: r.skipped for r in parsed.where("skipped IS NOT NULL").collect()} == {
+        "": "comment", "! note": "comment", "x.org##.ad": "cosmetic", "||abc.$script": "options", "*": "everything", "||": "everything", "|http://a": "scheme", "/a?b": "query",
+    }
+    pages = spark.createDataFrame([(i, "http://" + t.upper()) for i, t in enumerate(targets)], "page_id long, url string")
+    # the path keeps its case; rules ignore it
+    for default in ("allow", "block"):
+        got = {r.page_id: r.verdict for r in urlrules.judge(pages, parsed, default=default).collect()}
+        wanted = {i: "allow" if any(fits(r, t) for r in allows) else "block" if any(fits(r, t) for r in blocks) else default for i, t in enumerate(targets)}
+        assert got == wanted
+    one = urlrules.judge(pages, urlrules.parse_list(lines.limit(0)))
+    assert {r.verdict for r in one.collect()} == {"allow"}
+
+
+def test_rules_without_tokens_go_by_runs_or_blocks(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "BLOCK", 2)
+    lines = ["bcde*xyz", "||a.org^$match-case", "/UP$match-case", "127.0.0.1 bad.net # note", *[rf"/\/{k}[0-9]+$/" for k in range(5)]]
+    parsed = urlrules.parse_list(spark.createDataFrame([(x,) for x in lines], "value string"))
+    urls = ["http://abcdef.org/wxyz", "http://x.a.org/", "http://xa.org/", "http://x.org/UPPER", "http://x.org/upper", "http://www.bad.net", "http://x.org/37", "http://x.org/7", None, "x"]
+    got = {r.page_id: r.verdict for r in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), parsed).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, 1, 3, 5, 6}
