@@ -105,18 +105,31 @@ def source_detail(spark, sf_dir, store):
     return query.source_detail(store, "src:master")
 
 
-@registered("F12_applicable_predicates", """SELECT * FROM (VALUES ('Nation','part_of'),('Agent','located_in'),('Customer','located_in'),('Supplier','located_in'),('User','located_in'),
+@registered("F12_applicable_predicates", sql(f"""SELECT v.type_id, v.predicate_id, coalesce(u.n, 0) AS n FROM (VALUES ('Nation','part_of'),('Agent','located_in'),('Customer','located_in'),('Supplier','located_in'),('User','located_in'),
     ('Place','name'),('Region','name'),('Nation','name'),('Agent','name'),('Customer','name'),('Supplier','name'),('User','name'),('Part','name'),('Customer','segment'),('Agent','balance'),
     ('Customer','balance'),('Supplier','balance'),('User','balance'),('Order','placed_by'),('Order','status'),('Order','total'),('Happening','started'),('Order','started'),('Order','contains'),
-    ('Order','supplied_by'),('User','did')) v(type_id, predicate_id)""")
+    ('Order','supplied_by'),('User','did')) v(type_id, predicate_id)
+    LEFT JOIN (SELECT e.type_id, s.predicate_id, count(*) AS n FROM stmt s JOIN ent e ON e.id = s.subject_id WHERE {VISIBLE} GROUP BY 1, 2) u USING (type_id, predicate_id)"""))
 def applicable(spark, sf_dir, store):
-    return registry.applicable(store.types, store.implements, store.predicates)
+    """Each applicable predicate with how often entities of just the type use it."""
+    types = store.entities.select(F.col("id").alias("subject_id"), "type_id")
+    used = query.matching(store).join(types, "subject_id").groupBy("type_id", "predicate_id").agg(F.count("*").alias("n"))
+    found = registry.applicable(store.types, store.implements, store.predicates).join(used, ["type_id", "predicate_id"], "left")
+    return found.select("type_id", "predicate_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@registered("F13_field_groups", """SELECT * FROM (VALUES ('part_of','Where'),('located_in','Where'),('name','Details'),('segment','Details'),('balance','Details'),('placed_by','Who'),('status','Details'),
-    ('total','Details'),('started','When'),('contains','Details'),('supplied_by','Who'),('did','Details')) v(id, question)""")
+@registered("F13_field_groups", sql(f"""SELECT id, question, coalesce(n, 0) AS n FROM (VALUES ('part_of','Where'),('located_in','Where'),('name','Details'),('segment','Details'),('balance','Details'),('placed_by','Who'),('status','Details'),
+    ('total','Details'),('started','When'),('contains','Details'),('supplied_by','Who'),('did','Details')) v(id, question)
+    LEFT JOIN (SELECT predicate_id AS id, count(*) AS n FROM stmt WHERE {VISIBLE} GROUP BY 1) USING (id)"""))
 def field_groups(spark, sf_dir, store):
-    return query.field_groups(store)
+    """The predicates of each question with their statements."""
+    return _with_statements(store, query.field_groups(store)).select("id", "question", "n")
+
+
+def _with_statements(store: model.Store, predicates: DataFrame) -> DataFrame:
+    """predicates (id, ...) with n, their visible statements."""
+    said = query.matching(store).groupBy(F.col("predicate_id").alias("id")).agg(F.count("*").alias("n"))
+    return predicates.join(said, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @registered("F14_by_predicate", sql(f"SELECT predicate_id, count(*) AS n, string_agg(id, ',' ORDER BY {CANON}) AS ids FROM stmt WHERE {VISIBLE} AND subject_id = 'order:1' GROUP BY 1"))
@@ -764,17 +777,27 @@ def removable(spark, sf_dir, store):
     return write.removable(store, ids).select("id", "removable")
 
 
-@registered("P1_closure", """WITH RECURSIVE t(id, parent) AS (VALUES ('Place', NULL), ('Region', 'Place'), ('Nation', 'Place'), ('Agent', NULL), ('Customer', 'Agent'), ('Supplier', 'Agent'), ('User', 'Agent'), ('Part', NULL), ('Document', NULL),
-    ('Page', NULL), ('Conversation', NULL), ('Happening', NULL), ('Order', 'Happening')), c AS (SELECT id AS type_id, id AS ancestor_id FROM t UNION ALL SELECT c.type_id, t.parent FROM c JOIN t ON t.id = c.ancestor_id WHERE t.parent IS NOT NULL)
-    SELECT type_id, ancestor_id FROM c""")
+@registered("P1_closure", sql("""SELECT type_id, ancestor_id, coalesce(n, 0) AS n FROM c LEFT JOIN (SELECT type_id, count(*) AS n FROM ent WHERE merged_into IS NULL GROUP BY 1) USING (type_id)""", t="""{recursive}SELECT * FROM (VALUES ('Place', NULL), ('Region', 'Place'), ('Nation', 'Place'), ('Agent', NULL), ('Customer', 'Agent'), ('Supplier', 'Agent'), ('User', 'Agent'), ('Part', NULL), ('Document', NULL),
+    ('Page', NULL), ('Conversation', NULL), ('Happening', NULL), ('Order', 'Happening')) v(id, parent)""", c="""SELECT id AS type_id, id AS ancestor_id FROM t UNION ALL SELECT c.type_id, t.parent FROM c JOIN t ON t.id = c.ancestor_id WHERE t.parent IS NOT NULL"""))
 def closure(spark, sf_dir, store):
-    return registry.closure(store.types)
+    """Each type under each type above it, with its live entities."""
+    live = store.entities.where("merged_into IS NULL").groupBy("type_id").agg(F.count("*").alias("n"))
+    return registry.closure(store.types).join(live, "type_id", "left").select("type_id", "ancestor_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+PROPOSED_PREDICATES = """SELECT o_orderkey AS k, 'p' || o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Nowhere' ELSE 'Agent' END AS domain_type,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'Nameable' END AS domain_interface, CASE o_orderkey % 4 WHEN 0 THEN 'entity' WHEN 1 THEN 'string' WHEN 2 THEN 'number' ELSE 'colour' END AS range_kind,
+    CASE o_orderkey % 12 WHEN 0 THEN 'Part' WHEN 4 THEN 'Void' END AS range_type, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 7 < 3 THEN '1:1' ELSE 'n:m' END AS cardinality,
+    o_orderkey % 6 = 1 AS identifying, CASE o_orderkey % 9 WHEN 0 THEN 'p' || (o_orderkey + 1) WHEN 1 THEN 'p' || (o_orderkey - 1) WHEN 2 THEN 'p' || (o_orderkey + 1) END AS inverse_id FROM orders"""
 
 
-@registered("P5_review", "SELECT * FROM (VALUES ('likes', ''), ('liked_by', ''), ('code', 'no domain; no cardinality; identifying needs string and 1:1')) v(id, problems)")
+@registered("P5_review", f"""WITH p AS ({PROPOSED_PREDICATES}) SELECT p.id, concat_ws('; ', CASE WHEN p.domain_type IS NULL AND p.domain_interface IS NULL THEN 'no domain' END,
+    CASE WHEN p.domain_type = 'Nowhere' THEN 'unknown domain type' END, CASE WHEN p.range_kind = 'colour' THEN 'unknown range kind' END, CASE WHEN p.range_type = 'Void' THEN 'unknown range type' END,
+    CASE WHEN p.cardinality IS NULL THEN 'no cardinality' END, CASE WHEN p.identifying AND (p.range_kind <> 'string' OR p.cardinality <> '1:1') THEN 'identifying needs string and 1:1' END,
+    CASE WHEN p.inverse_id IS NOT NULL AND b.inverse_id IS DISTINCT FROM p.id THEN 'inverse does not point back' END) AS problems FROM p LEFT JOIN p b ON b.id = p.inverse_id""")
 def review(spark, sf_dir, store):
-    rows = [("likes", "Agent", None, "entity", "Part", "n:m", False, "liked_by"), ("liked_by", "Part", None, "entity", "Agent", "n:m", False, "likes"), ("code", None, None, "number", None, None, True, None)]
-    proposed = model.literal_table(spark, rows, "id string, domain_type string, domain_interface string, range_kind string, range_type string, cardinality string, identifying boolean, inverse_id string")
+    """Orders as proposed predicates: what they propose follows from their keys."""
+    proposed = spark.sql(PROPOSED_PREDICATES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return registry.review(proposed, store.types).withColumn("problems", F.array_join("problems", "; "))
 
 
@@ -917,11 +940,16 @@ def create_entities(spark, sf_dir, store):
     return write.plan_entities(store, rows)
 
 
-@registered("P4_review_types", """SELECT * FROM (VALUES ('City', ''), ('Ghost', 'unknown parent'), ('Party', 'kind differs from parent'), ('Odd', 'unknown kind; unknown interface')) v(id, problems)""")
+@registered("P4_review_types", """WITH p AS (SELECT o_orderkey AS k, o_orderkey % 4 AS parent, o_orderkey % 3 AS kind FROM orders) SELECT 't' || k AS id, concat_ws('; ', CASE WHEN parent = 1 THEN 'unknown parent' END,
+    CASE WHEN kind = 2 THEN 'unknown kind' END, CASE WHEN parent IN (0, 2) AND kind <> 0 THEN 'kind differs from parent' END, CASE WHEN k % 5 = 2 THEN 'unknown interface' END) AS problems FROM p""")
 def review_types(spark, sf_dir, store):
-    rows = [("City", "Place", "continuant", ["Nameable"]), ("Ghost", "Nowhere", "continuant", []), ("Party", "Agent", "occurrent", None), ("Odd", None, "thing", ["Flying"])]
-    proposed = model.literal_table(spark, rows, "id string, parent_id string, kind string, interfaces array<string>")
-    return registry.review_types(proposed, store.types, ["Nameable", "Temporal", "Embeddable"]).withColumn("problems", F.array_join("problems", "; "))
+    """Orders as proposed types."""
+    k = F.col("o_orderkey")
+    parent = F.when(k % 4 == 0, "Place").when(k % 4 == 1, "Nowhere").when(k % 4 == 2, "Agent")
+    kind = F.when(k % 3 == 0, "continuant").when(k % 3 == 1, "occurrent").otherwise("thing")
+    names = F.when(k % 5 == 1, F.array(F.lit("Nameable"))).when(k % 5 == 2, F.array(F.lit("Nameable"), F.lit("Flying"))).when(k % 5 > 2, F.array().cast("array<string>"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("t"), k.cast("string")).alias("id"), parent.alias("parent_id"), kind.alias("kind"), names.alias("interfaces"))
+    return registry.review_types(rows, store.types, ["Nameable", "Temporal", "Embeddable"]).withColumn("problems", F.array_join("problems", "; "))
 
 
 @registered("L10_evictions", "SELECT event_id AS node FROM (SELECT event_id, row_number() OVER (ORDER BY ts, user_id, event_id) AS k FROM events WHERE event_type <> 'purchase') WHERE k <= (SELECT count(*) FROM events) - (SELECT count(*) // 2 FROM events)")
@@ -972,9 +1000,12 @@ def tool_log(spark, sf_dir, store):
     return rows.agg(F.max("ts").alias("last"), F.count_if(F.col("value") > 50).alias("slow"))
 
 
-@registered("F8_vocabulary", "SELECT * FROM (VALUES ('1:1', 7), ('n:m', 5)) v(cardinality, n)")
+@registered("F8_vocabulary", sql(f"""SELECT CASE WHEN predicate_id IN ('part_of', 'located_in', 'contains', 'supplied_by', 'did') THEN 'n:m' ELSE '1:1' END AS cardinality, count(DISTINCT predicate_id) AS n, count(*) AS statements
+    FROM stmt WHERE {VISIBLE} GROUP BY 1"""))
 def compact_vocabulary(spark, sf_dir, store):
-    return store.predicates.select("id", "cardinality").groupBy("cardinality").agg(F.count("*").alias("n"))
+    """The vocabulary by cardinality, with what is said by its predicates."""
+    rows = _with_statements(store, store.predicates.select("id", "cardinality"))
+    return rows.groupBy("cardinality").agg(F.count("*").alias("n"), F.sum("n").alias("statements"))
 
 
 PROPOSED = """SELECT user_id AS p, event_id AS seq, ts, value, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'amend' ELSE 'propose' END AS action FROM events"""
