@@ -67,8 +67,8 @@ def _links(rows: DataFrame, keys: DataFrame, types: DataFrame, least: float) ->
     up = registry.closure(types).where("type_id <> ancestor_id")
     below = heads.join(up, "type_id").groupBy(F.col("ancestor_id").alias("type_id"), "low").agg(F.min("ref").alias("b"))
     wider = heads.join(below, ["type_id", "low"]).select(F.col("ref").alias("a"), "b")
-    vectors = stored(rows.sparkSession, resolve.embed(heads, "ref", "low"), "head-vectors")
-    near = resolve.similar(vectors.withColumnRenamed("ref", "query"), vectors.withColumnRenamed("ref", "id"), least).where("query > id")
+    text = F.col("low").alias("text")
+    near = resolve.similar_texts(heads.select(F.col("ref").alias("query"), text), heads.select(F.col("ref").alias("id"), text), least).where("query > id")
     kind = heads.select(F.col("ref").alias("query"), "type_id"), heads.select(F.col("ref").alias("id"), "type_id")
     near = near.join(kind[0], "query").join(kind[1], ["id", "type_id"]).select(F.col("query").alias("a"), F.col("id").alias("b"))
     return star(keys, ["predicate_id", "value"]).unionByName(star(named, ["type_id", "low"])).unionByName(wider).unionByName(near)

@@ -27,3 +27,24 @@ def test_nearest_in_blocks(spark, monkeypatch):
         score = lambda i: 9.0 if own[i] is None or own[q] is None else -round(float(own[q] @ own[i]), 12)
         want = sorted((i for i in range(60) if i != q), key=lambda i: (score(i), i))[:3]
         assert [got[q, p] for p in (1, 2, 3)] == want
+
+
+def test_vectors_shuffle_texts_alone(spark):
+    rows = spark.createDataFrame([(1, "Müller"), (1, "b"), (2, None)], "id long, t string")
+    made = resolve.embed(rows, "id", "t")
+    assert plan(made).count("Aggregate") == 1 and "Window" not in plan(made)
+    assert {r.id for r in made.collect()} == {1, 2}
+
+
+def test_similar_texts(spark, monkeypatch):
+    names = [f"Customer#{i:09d}" for i in range(0, 4000, 37)] + ["red bolt"] * 5 + ["", None, "Red Bolt "]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, text string").cache()
+    asked = rows.where("id % 4 = 0").withColumnRenamed("id", "query")
+    v = resolve.embed(rows, "id", "text").cache()
+    q = resolve.embed(asked, "query", "text")
+    monkeypatch.setattr(resolve, "BLOCK", 16)
+    for least in (0.5, 0.8, 0.95):
+        full = {(x.query, x.id): round(x.similarity, 9) for x in resolve.cosine(q, v, least - 1e-9).collect()}
+        found = resolve.similar_texts(asked, rows, least)
+        assert {(x.query, x.id): round(x.similarity, 9) for x in found.collect()} == full
+        assert found.count() == len(full)
