@@ -96,3 +96,11 @@ def test_calls(spark, log):
 def test_odd_arguments(spark):
     rows = spark.createDataFrame([(None,), ("",), ("x" * 3000,), ("[" + "1," * 2000 + "1]",)], "a string")
     assert [r[0] for r in rows.select(calls.cut_arguments(F.col("a"))).collect()] == [None, "", '{"_truncated":true}', '{"_truncated":true}']
+
+
+def test_shown_results_join_nothing(spark):
+    """Results without a reference are beside the join of those with one, not a group of it."""
+    from chronofact.plans import catalog
+
+    plan = catalog.queries()["U3_offload"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Union") < plan.index("Join")
