@@ -48,3 +48,9 @@ def test_similar_texts(spark, monkeypatch):
         found = resolve.similar_texts(asked, rows, least)
         assert {(x.query, x.id): round(x.similarity, 9) for x in found.collect()} == full
         assert found.count() == len(full)
+
+
+def test_different_texts_of_one_vector(spark):
+    rows = spark.createDataFrame([(1, "Customer#000000100"), (2, "Customer#000001000")], "id long, text string")
+    found = resolve.similar_texts(rows.withColumnRenamed("id", "query"), rows, 0.9)
+    assert sorted((r.query, r.id) for r in found.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
