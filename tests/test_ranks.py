@@ -40,3 +40,29 @@ def test_links_stay_in_place(spark):
         assert plan.count("Exchange hashpartitioning(a#") == 1  # that of the ranks
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_round_shuffles_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "in_buckets", lambda s, df, name, key: (plans.append((name, df)), graph.bucketed(s, df, name, key))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "c"), ("d", "e")], "src string, dst string")
+        graph.pagerank(e, spark.createDataFrame([(x,) for x in "abcdef"], "node string")).collect()
+        graph.communities(e).collect()
+        for name in ("labels",):
+            last = [df for n, df in plans if n == name][-1]
+            assert str(last._jdf.queryExecution().executedPlan()).split("Initial Plan")[0].count("Exchange ") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hub_has_its_links_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS_IN_ROW", 4)
+    ways = spark.createDataFrame([(0, i % 30) for i in range(1, 60)], "a long, b long")
+    for simple, most in ((False, 4), (True, 4)):
+        rows = graph.grouped_links(spark, ways, simple).collect()
+        assert max(len(r.bs) for r in rows) <= most
+        got = sorted((r.a, b) for r in rows for b in r.bs)
+        both = [x for i in range(1, 60) for x in ((0, i % 30), (i % 30, 0))]
+        assert got == sorted(set(both) if simple else both)
