@@ -50,7 +50,7 @@ def test_a_round_shuffles_once(spark, monkeypatch):
         e = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "c"), ("d", "e")], "src string, dst string")
         graph.pagerank(e, spark.createDataFrame([(x,) for x in "abcdef"], "node string")).collect()
         graph.communities(e).collect()
-        for name in ("labels",):
+        for name in ("ranks", "labels"):
             last = [df for n, df in plans if n == name][-1]
             assert str(last._jdf.queryExecution().executedPlan()).split("Initial Plan")[0].count("Exchange ") == 1
     finally:
