@@ -30,3 +30,19 @@ def test_a_round_of_moves_shuffles_links_once(plain):
     plan = modularity._proposals(modularity.Level(links, nodes, 8, 0), nodes, 1, False)
     assert exchanges(plan) == 1
     assert plan.count() == 4
+
+
+def test_index_compares_in_tasks(spark, monkeypatch):
+    """Rows that are compared are no rows of a table: what is shuffled after it are the best of each task."""
+    import numpy as np
+
+    from chronofact.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(600)], "id long, v array<double>")
+    kept = []
+    monkeypatch.setattr(vector_index, "stored", lambda s, df, name: kept.append(stored(s, df, name)) or kept[-1], raising=False)
+    monkeypatch.setattr(vector_index, "QUERY_GROUP", 7, raising=False)
+    asked = v.where("id < 20").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    found = vector_index.VectorIndex.build(v, cells=4).search(asked, 2, probes=4, again=5).collect()
+    assert len(found) == 40 and kept[0].count() == 20 * 10
