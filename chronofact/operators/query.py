@@ -156,8 +156,10 @@ def duplicates(store: Store, predicate: str) -> DataFrame:
 
 def best_labels(store: Store, predicate: str = "name") -> DataFrame:
     """The label of each subject: by rank, confidence, number of sources, newest, then text."""
-    refs = store.references.groupBy(F.col("statement_id").alias("id")).agg(F.count("*").alias("sources"))
-    said = matching(store, predicate=predicate).join(refs, "id", "left")
+    said = matching(store, predicate=predicate)
+    # an inner join with what is distinct: only references of these statements are grouped, and no join is pushed below the union of statements
+    refs = store.references.select(F.col("statement_id").alias("id")).join(said.select("id").distinct(), "id").groupBy("id").agg(F.count("*").alias("sources"))
+    said = said.join(refs, "id", "left")
     order = F.struct(-filters.rank_order(), "confidence", F.coalesce("sources", F.lit(0)), "system_from", "value_text")
     return said.groupBy("subject_id").agg(F.max_by("value_text", order).alias("label"))
 

@@ -46,3 +46,15 @@ def test_index_compares_in_tasks(spark, monkeypatch):
     asked = v.where("id < 20").select(F.col("id").alias("query"), F.col("v").alias("q"))
     found = vector_index.VectorIndex.build(v, cells=4).search(asked, 2, probes=4, again=5).collect()
     assert len(found) == 40 and kept[0].count() == 20 * 10
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_labels_group_only_their_own_references(spark):
+    from chronofact import model
+    from chronofact.operators import query
+
+    found = query.best_labels(model.reify(spark, SF))
+    assert "Join Inner" in found._jdf.queryExecution().optimizedPlan().toString()  # references meet the names before they are grouped
+    assert found.count() == found.select("subject_id").distinct().count() > 0
