@@ -58,3 +58,13 @@ def test_labels_group_only_their_own_references(spark):
     found = query.best_labels(model.reify(spark, SF))
     assert "Join Inner" in found._jdf.queryExecution().optimizedPlan().toString()  # references meet the names before they are grouped
     assert found.count() == found.select("subject_id").distinct().count() > 0
+
+
+def test_proposals_without_an_inverse_are_not_joined(plain):
+    from chronofact.operators import registry
+
+    columns = "id string, domain_type string, domain_interface string, range_kind string, range_type string, cardinality string, identifying boolean, inverse_id string"
+    given = [(f"p{i}", "T", None, "entity", None, "n:m", False, inverse) for i, inverse in enumerate(["p1", "p0", None, "p0", "none", None])]
+    found = registry.review(plain.createDataFrame(given, columns), plain.createDataFrame([("T",)], "id string"))
+    assert {r.id: r.problems for r in found.collect()} == {f"p{i}": ["inverse does not point back"] if i in (3, 4) else [] for i in range(6)}
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()  # rows of the null key are beside the join
