@@ -68,3 +68,11 @@ def test_proposals_without_an_inverse_are_not_joined(plain):
     found = registry.review(plain.createDataFrame(given, columns), plain.createDataFrame([("T",)], "id string"))
     assert {r.id: r.problems for r in found.collect()} == {f"p{i}": ["inverse does not point back"] if i in (3, 4) else [] for i in range(6)}
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()  # rows of the null key are beside the join
+
+
+def test_cited_sources_are_counted_before_the_join(spark):
+    from chronofact.plans import catalog
+
+    found = catalog.queries()["S6_v_sources"](spark, SF)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no statement's own number is needed
+    assert sum(r.n for r in found.collect()) > 0
