@@ -76,3 +76,11 @@ def test_cited_sources_are_counted_before_the_join(spark):
     found = catalog.queries()["S6_v_sources"](spark, SF)
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no statement's own number is needed
     assert sum(r.n for r in found.collect()) > 0
+
+
+def test_modularity_of_links_one_way(plain):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("c", "d")]
+    e = plain.createDataFrame(edges, "src string, dst string")
+    members = plain.createDataFrame([(n, "x" if n < "c" else "y") for n in "abcd"], "node string, community string")
+    once = modularity.modularity(e.toDF("a", "b").withColumn("w", F.lit(1).cast("long")), members, one_way=True)
+    assert once.first()[0] == pytest.approx(modularity.modularity(modularity.weighted(e), members).first()[0])
