@@ -84,3 +84,16 @@ def test_modularity_of_links_one_way(plain):
     members = plain.createDataFrame([(n, "x" if n < "c" else "y") for n in "abcd"], "node string, community string")
     once = modularity.modularity(e.toDF("a", "b").withColumn("w", F.lit(1).cast("long")), members, one_way=True)
     assert once.first()[0] == pytest.approx(modularity.modularity(modularity.weighted(e), members).first()[0])
+
+
+def test_superseding_reads_what_is_edited_once(spark, monkeypatch):
+    from chronofact import model
+    from chronofact.operators import write
+
+    kept = []
+    monkeypatch.setattr(write, "stored", lambda s, df, name: kept.append(name) or stored(s, df, name))
+    store = model.reify(spark, SF)
+    edits = store.statements.where("predicate_id = 'segment'").select("id", F.lit(None).cast("string").alias("rank"), F.lit(0.5).alias("confidence"))
+    refs = write.supersede_whole(store, edits, "2000-01-01 00:00:00")[2]
+    assert kept == ["edits", "copies"]
+    assert refs.where("statement_id LIKE '%@%'").count() == edits.count() > 0
