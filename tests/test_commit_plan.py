@@ -38,3 +38,26 @@ def test_rows_are_found_where_they_belong(spark):
         if r.predicate_id == "balance":
             assert got[o + 4000000] == ("reject", "bad rank")
     assert len(got) == 18
+
+
+def test_the_lookups_of_a_batch_are_narrow(spark, monkeypatch):
+    """Only predicates that the batch has are looked up, no row is shuffled by its source, and qualified statements are known without their values."""
+    store, rows = model.reify(spark, FOLDER), catalog._candidates(spark, FOLDER)
+    assert "o_totalprice" not in plan(write.validate(store, rows)) and "o_orderstatus" not in plan(write.validate(store, rows))
+    assert "has_source" not in plan(write.validate(store, rows))
+    assert "Window" not in plan(store.qualified)
+    ids = store.qualifiers.select("statement_id").distinct()
+    assert store.qualified.count() == ids.count() == ids.join(store.qualified, "statement_id").count() > 0
+    lost = rows.where("ord < 3").withColumn("source_id", F.lit("src:none"))
+    assert {r.problems[0] for r in write.validate(store, lost).select("problems").collect()} == {"unknown source"}
+
+
+def test_numbers_are_alike_as_values(spark):
+    """Numbers are compared as values though their keys hold texts: minus zero is zero, and what comes back is what was given."""
+    store = model.reify(spark, FOLDER)
+    said = store.statements.where("subject_id = 'supplier:1' AND predicate_id = 'balance'")
+    rows = catalog._said(spark, said, "1", value_number=F.lit(0.0)).unionByName(catalog._said(spark, said, "2", value_number=F.lit(-0.0)))
+    rows = rows.unionByName(catalog._said(spark, said, "3"))
+    got = {r.ord: (r.outcome, r.detail, r.value_number) for r in write._planned(store, rows, None).collect()}
+    assert got[1][:2] == ("insert", "second value") and got[2] == ("reconfirm", "batch", 0.0)
+    assert got[3] == ("reconfirm", "balance|supplier:1|1", said.first().value_number)
