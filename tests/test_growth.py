@@ -97,3 +97,12 @@ def test_superseding_reads_what_is_edited_once(spark, monkeypatch):
     refs = write.supersede_whole(store, edits, "2000-01-01 00:00:00")[2]
     assert kept == ["edits", "copies"]
     assert refs.where("statement_id LIKE '%@%'").count() == edits.count() > 0
+
+
+def test_statements_are_counted_by_type_without_a_sort(plain):
+    from chronofact.plans import catalog
+
+    found = catalog.queries()["F12_applicable_predicates"](plain, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [subject_id" in plan and "SortMergeJoin [subject_id" not in plan  # what is sorted is held, statements and all
+    assert sum(r.n for r in found.collect()) > 0
