@@ -20,7 +20,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(resolve, "BLOCK", 4)
     monkeypatch.setattr(resolve, "VECTOR_BLOCK", 7)
     found = resolve.nearest(asked, v, 3)
-    assert "Join" not in plan(found)
+    assert plan(found).startswith("FlatMapCoGroups")
     got = {(r.query, r.place): r.id for r in found.collect()}
     own = [None if r is None else np.array(r) / np.linalg.norm(r) for r in x]
     for q in [r.query for r in asked.collect()]:
@@ -54,3 +54,14 @@ def test_different_texts_of_one_vector(spark):
     rows = spark.createDataFrame([(1, "Customer#000000100"), (2, "Customer#000001000")], "id long, text string")
     found = resolve.similar_texts(rows.withColumnRenamed("id", "query"), rows, 0.9)
     assert sorted((r.query, r.id) for r in found.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_copies_are_paired_in_their_task(spark, monkeypatch):
+    """Whatever they are cut into; and no pairs are joined to names."""
+    monkeypatch.setattr(resolve, "MEMBERS", 3)
+    monkeypatch.setattr(resolve, "QUERIES", 2)
+    rows = spark.createDataFrame([(i, ["red bolt", "red bolts", "ring"][i % 3]) for i in range(40)], "id long, text string")
+    found = resolve.similar_texts(rows.where("id < 20").withColumnRenamed("id", "query"), rows, 0.5)
+    assert plan(found).startswith("FlatMapCoGroups")
+    got = [(r.query, r.id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(q, i) for q in range(20) for i in range(40) if (q % 3 == 2) == (i % 3 == 2)}
