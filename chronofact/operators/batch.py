@@ -47,7 +47,7 @@ def checked(store: Store, rows: DataFrame) -> None:
 def judged(store: Store, identifiers: DataFrame) -> DataFrame:
     """identifiers (ref, predicate_id, value) with a warning where they can't identify: unknown predicate, not identifying, or no value."""
     preds = store.predicates.select(F.col("id").alias("predicate_id"), "identifying")
-    rows = identifiers.join(preds, "predicate_id", "left")
+    rows = identifiers.join(F.broadcast(preds), "predicate_id", "left")  # a vocabulary: shuffled, all of one predicate would meet in a task
     blank = F.coalesce(F.trim("value") == "", F.lit(True))
     warning = F.when(F.col("identifying").isNull(), "unknown predicate").when(~F.col("identifying"), "not identifying").when(blank, "no value")
     return rows.select("ref", "predicate_id", "value", warning.alias("warning"))
@@ -57,10 +57,10 @@ def _named(label: Column) -> Column:
     return F.when(F.trim(label) != "", F.lower(label))
 
 
-def _links(rows: DataFrame, keys: DataFrame, types: DataFrame, least: float) -> DataFrame:
-    """a, b: refs of the batch that are the same by an identifier, by a label in any case, or by a label's vector. Each key links its refs to the
-    least of them, never in pairs."""
-    star = lambda df, by: df.join(df.groupBy(*by).agg(F.min("ref").alias("b")), by).select(F.col("ref").alias("a"), "b")
+def _links(rows: DataFrame, keys: DataFrame, types: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Refs of the batch that are the same by an identifier, by a label in any case, or by a label's vector: stars (ref, head), as each key links its refs
+    to the least of them, never in pairs; and pairs (a, b) of heads."""
+    star = lambda df, by: df.join(df.groupBy(*by).agg(F.min("ref").alias("head")), by).select("ref", "head")
     named = rows.select("ref", "type_id", _named(F.col("label")).alias("low")).where("low IS NOT NULL")
     heads = stored(rows.sparkSession, named.groupBy("type_id", "low").agg(F.min("ref").alias("ref")), "heads")
     # a label asked for under a wider type is the least one of a type below
@@ -71,7 +71,17 @@ def _links(rows: DataFrame, keys: DataFrame, types: DataFrame, least: float) ->
     near = resolve.similar_texts(heads.select(F.col("ref").alias("query"), text), heads.select(F.col("ref").alias("id"), text), least).where("query > id")
     kind = heads.select(F.col("ref").alias("query"), "type_id"), heads.select(F.col("ref").alias("id"), "type_id")
     near = near.join(kind[0], "query").join(kind[1], ["id", "type_id"]).select(F.col("query").alias("a"), F.col("id").alias("b"))
-    return star(keys, ["predicate_id", "value"]).unionByName(star(named, ["type_id", "low"])).unionByName(wider).unionByName(near)
+    return star(keys, ["predicate_id", "value"]).unionByName(star(named, ["type_id", "low"])), wider.unionByName(near)
+
+
+def linked(stars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """ref, component (the least ref reachable) of stars (ref, head: the least ref of its star) and pairs (a, b) of heads. A ref is where its first head is,
+    so only refs of several stars link heads, and rounds run on heads alone."""
+    spark = stars.sparkSession
+    own = stored(spark, stars.groupBy("ref").agg(F.min("head").alias("first"), F.max("head").alias("last")), "firsts")
+    several = stars.join(own.where("first <> last").select("ref", "first"), "ref").where("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b"))
+    found = components(several.unionByName(pairs).distinct()).withColumnRenamed("node", "first")
+    return own.select("ref", "first").join(found, "first", "left").select("ref", F.coalesce("component", "first").alias("component"))
 
 
 def match_batch(store: Store, rows: DataFrame, identifiers: DataFrame, batch: str, least: float = resolve.AUTOMATIC) -> DataFrame:
@@ -92,8 +102,7 @@ def match_batch(store: Store, rows: DataFrame, identifiers: DataFrame, batch: st
     held = held.join(alive.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").groupBy("predicate_id", F.col("value_text").alias("value")).agg(F.min("subject_id").alias("id"))
     owned = keys.join(held, ["predicate_id", "value"]).groupBy("ref").agg(F.min(F.struct("predicate_id", "id")).alias("k"))
     owned = stored(spark, owned.select("ref", F.col("k.id").alias("own"), F.col("k.predicate_id").alias("by")), "owned")
-    linked = components(_links(rows, keys, store.types, least))
-    rows = rows.join(linked.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref")).join(owned, "ref", "left")
+    rows = rows.join(linked(*_links(rows, keys, store.types, least)), "ref", "left").withColumn("component", F.coalesce("component", "ref")).join(owned, "ref", "left")
     rows = stored(spark, rows, "linked")
     # labels against the store: once for each type and label of what has no owner
     open_rows = rows.join(rows.where("own IS NOT NULL").select("component").distinct(), "component", "left_anti")
